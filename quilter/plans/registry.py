@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ class Registry:
             raise ValueError(f"{name} is taken")
         self.queries[name] = query
         if oracle:
-            self.oracles[name] = oracle
+            # a tile's row is called by, which SQL wants quoted; keywords are in capitals
+            self.oracles[name] = re.sub(r'(?<!")\bby\b(?!")', '"by"', oracle)
 
     def query(self, name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         def keep(f: Query) -> Query:
