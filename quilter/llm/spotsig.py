@@ -9,15 +9,15 @@ bound ``smaller / larger set`` tested before sets are intersected.
 Anchors are glued to the content word that follows them, after which a chain is a
 window over the array of content words: linear in the text's length, no rows per word.
 
-``neighbours`` finds the next document by id from range-partitioned ids alone, and
-brings the texts together by two shuffles. ``duplicates`` finds pairs of likeness
+``next_ids`` finds the next document by id from range-partitioned ids alone, and ``with_next``
+brings the texts together. ``duplicates`` finds pairs of likeness
 ``threshold`` or more between distinct fingerprints: partitions by set length, a prefix
 index of rare signatures inside them, then pruned Jaccard.
 
 Defined results: null text is the empty text; a text without content words has the
 empty fingerprint, which has likeness 1 to itself and 0 to any other; the row after
 the last is the first; rows with the same id share their next row, and of several rows
-with the next id the smallest text counts; a null id comes first.
+with the next id the one of the smallest head (then fingerprint) counts; a null id comes first.
 """
 
 from __future__ import annotations
@@ -111,24 +111,31 @@ def next_ids(ids: DataFrame, id_col: str, staged: Staged) -> DataFrame:
     return out.select("id_", F.coalesce("next_", "head_")["id_"].alias("next_"))
 
 
-def with_next_text(df: DataFrame, id_col: str, text_col: str, staged: Staged) -> DataFrame:
-    """(id_, text_, next_text_) of every row, nulls as empty texts."""
-    docs = df.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    links = staged.put(next_ids(df, id_col, staged), "next_ids").select(F.col("id_").alias("before_"), F.col("next_").alias("id_"))
-    one = docs.groupBy("id_").agg(F.min("text_").alias("next_text_"))
-    follow = one.join(links, one["id_"].eqNullSafe(links["id_"])).select("before_", "next_text_")
-    return docs.join(follow, docs["id_"].eqNullSafe(follow["before_"])).select("id_", "text_", "next_text_")
+def with_next(df: DataFrame, id_col: str, text_col: str, staged: Staged) -> DataFrame:
+    """(id_, text_, head_, after_) of every row: as much of the next text's head as the row may need, and its signatures.
+
+    Whole texts are shuffled once, by id, and used from that shuffle twice; of the next texts only heads and signatures travel on.
+    """
+    # ids as structs are never null, so all joins and the aggregate are by plain equality of one column
+    docs = df.select(F.struct(F.col(id_col).alias("id_")).alias("key_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    halves = docs.groupBy(F.col("key_").alias("before_")).agg(F.max(F.floor(F.length("text_") / 2)).cast("int").alias("half_"))
+    links = next_ids(df, id_col, staged).select(F.struct("id_").alias("before_"), F.struct(F.col("next_").alias("id_")).alias("key_"))
+    links = staged.put(links.join(halves, "before_"), "next_ids")
+    follow = docs.join(links, "key_")
+    head = F.struct(F.substring(F.col("text_"), F.lit(1), F.col("half_")).alias("head_"), signatures(F.col("text_")).alias("after_"))
+    follow = follow.select("before_", head.alias("n_")).groupBy("before_").agg(F.min("n_").alias("n_"))
+    return docs.join(follow, F.col("key_") == F.col("before_")).select("key_.id_", "text_", "n_.head_", "n_.after_")
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses."""
     staged = Staged(df.sparkSession)
-    rows = with_next_text(df, id_col, text_col, staged)
+    rows = with_next(df, id_col, text_col, staged)
     n = F.length("text_")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text_"), F.lit(1), n - half), F.substring(F.col("next_text_"), F.lit(1), half))
+    edited = F.concat(F.substring(F.col("text_"), F.lit(1), n - half), F.substring(F.col("head_"), F.lit(1), half))
     rows = rows.withColumns({"edited_": edited})
-    rows = rows.withColumns({"own_": signatures(F.col("text_")), "changed_": signatures(F.col("edited_")), "after_": signatures(F.col("next_text_"))})
+    rows = rows.withColumns({"own_": signatures(F.col("text_")), "changed_": signatures(F.col("edited_"))})
     return rows.select(
         F.col("id_").alias(id_col),
         n.cast("long").alias("n_chars"),
