@@ -112,12 +112,11 @@ MOMENTS_SQL = (
     + " FROM px GROUP BY ALL)"
 )
 IMAGING.add("G01", lambda s, d: tile_moments(s, d).select(*TILE_KEYS, *[f"{n}_{c}" for n in ("lo", "hi") for c in RGB]), GRID_SQL + MOMENTS_SQL + "SELECT image_id, bx, by, lo_r, lo_g, lo_b, hi_r, hi_g, hi_b FROM mm")
-_box = statistics.box(None)
 _lo, _hi = ([unorm(f"{n}_{c}") for c in RGB] for n in ("lo", "hi"))
 _ext = [f"({h} - {low})" for low, h in zip(_lo, _hi, strict=True)]
 IMAGING.add(
     "G02",
-    lambda s, d: tile_moments(s, d).select(*TILE_KEYS, *[(F.round(c, 9) if "is_" not in n else c).alias(n) for n, c in _box.items() if n != "volume_faithful"], (F.abs(_box["volume_faithful"])).alias("volume_faithful")),
+    lambda s, d: tile_moments(s, d).select(*TILE_KEYS, *[(c if "is_" in n else F.abs(c) if n == "volume_faithful" else F.round(c, 9)).alias(n) for n, c in statistics.box(None).items()]),
     GRID_SQL + MOMENTS_SQL + "SELECT image_id, bx, by, "
     + " OR ".join(f"{a} > {b}" for a, b in zip(_lo, _hi, strict=True)) + " AS is_empty, "
     + " AND ".join(f"{a} = {b}" for a, b in zip(_lo, _hi, strict=True)) + " AS is_singular, "
@@ -263,8 +262,14 @@ def packed(spark, sf_dir):
 IMAGING.add("P09", lambda s, d: packed(s, d).select("image_id", "sy", "sx", "n_blocks", F.length("payload").cast("long").alias("bytes")))
 IMAGING.add("P10", lambda s, d: container.unpack(packed(s, d)), GRID_SQL + CELLS_SQL + "SELECT image_id, bx, by, max(CASE WHEN k = 0 THEN r END) * 200 AS c0, max(CASE WHEN k = 15 THEN g END) * 199 AS c1, " + ", ".join(f"max(CASE WHEN k = {4 * i + 1} THEN b END) AS t{i}" for i in range(4)) + " FROM tx GROUP BY image_id, bx, by")
 _squash_sql = lambda e: " + ".join(f"((({e}) >> {2 * k}) & 1) * {1 << k}" for k in range(16))
-_zx, _zy = tiling.morton_split(col("o_orderkey") * 2654435 % 4294967296)
-IMAGING.add("P11", lambda s, d: table(s, d, "orders").select(col("o_orderkey").alias("id"), _zx.alias("x"), _zy.alias("y")), f"SELECT o_orderkey AS id, CAST({_squash_sql('o_orderkey * 2654435 % 4294967296')} AS BIGINT) AS x, CAST({_squash_sql('(o_orderkey * 2654435 % 4294967296) >> 1')} AS BIGINT) AS y FROM orders")
+
+
+def _split(spark, sf_dir):
+    x, y = tiling.morton_split(col("o_orderkey") * 2654435 % 4294967296)
+    return table(spark, sf_dir, "orders").select(col("o_orderkey").alias("id"), x.alias("x"), y.alias("y"))
+
+
+IMAGING.add("P11", _split, f"SELECT o_orderkey AS id, CAST({_squash_sql('o_orderkey * 2654435 % 4294967296')} AS BIGINT) AS x, CAST({_squash_sql('(o_orderkey * 2654435 % 4294967296) >> 1')} AS BIGINT) AS y FROM orders")
 
 
 def rectangles(spark, sf_dir):
@@ -312,8 +317,14 @@ IMAGING.add("P16", lambda s, d: extents(s, d).select("id", F.lit("BC1").alias("f
 
 # ---- block decoding -------------------------------------------------------
 
-ROWS4, ROWS6 = [col(f"t{i}") for i in range(4)], [col(f"t{i}") for i in range(6)]
-A8 = [col(f"u{i}") for i in range(8)]
+
+
+def t_cols(n: int) -> list:
+    return [col(f"t{i}") for i in range(n)]
+
+
+def u_cols(n: int) -> list:
+    return [col(f"u{i}") for i in range(n)]
 
 
 def texels(df, decoded, channels: str | None, digits: int = 9):
@@ -360,11 +371,11 @@ def bytes_query(name: str, parts: list[tuple[str, int]]) -> None:
     for _, size in parts:
         starts.append(at)
         at += size
-    data = B.hex_bytes([(col(p), size) for p, size in parts])
+    data = lambda: B.hex_bytes([(col(p), size) for p, size in parts])
     hexed = " || ".join(f"printf('%02X', ({p} >> {8 * i}) & 255)" for p, size in parts for i in range(size))
     IMAGING.add(
         name,
-        lambda s, d: packed_blocks(s, d).withColumn("data", data).select("block_id", "data", *[B.number_at(col("data"), a, size).alias(p) for a, (p, size) in zip(starts, parts, strict=True)]),
+        lambda s, d: packed_blocks(s, d).withColumn("data", data()).select("block_id", "data", *[B.number_at(col("data"), a, size).alias(p) for a, (p, size) in zip(starts, parts, strict=True)]),
         f"SELECT block_id, {hexed} AS data, {', '.join(p for p, _ in parts)} FROM ({BLOCK_SQL})",
     )
 
@@ -377,16 +388,16 @@ bytes_query("C09", [*VALUE_BYTES, *COLOUR_BYTES])
 bytes_query("C12", VALUE_BYTES)
 bytes_query("C15", [*VALUE_BYTES, *[(f"t{i}", 1) for i in range(6)]])
 _cs = dict(zip(RGB, colour_sql(), strict=True))
-IMAGING.add("C02", lambda s, d: texels(packed_blocks(s, d), B.decode_bc1(col("c0"), col("c1"), ROWS4), RGB), select_sql(IX2, _cs, "ix"))
-IMAGING.add("C03", lambda s, d: texels(packed_blocks(s, d), B.decode_bc1(col("c0"), col("c1"), ROWS4, alpha=True), RGBA), select_sql(IX2, _cs | {"a": "CASE WHEN c0 <= c1 AND i = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"}, "ix"))
+IMAGING.add("C02", lambda s, d: texels(packed_blocks(s, d), B.decode_bc1(col("c0"), col("c1"), t_cols(4)), RGB), select_sql(IX2, _cs, "ix"))
+IMAGING.add("C03", lambda s, d: texels(packed_blocks(s, d), B.decode_bc1(col("c0"), col("c1"), t_cols(4), alpha=True), RGBA), select_sql(IX2, _cs | {"a": "CASE WHEN c0 <= c1 AND i = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"}, "ix"))
 _byte_of = " ".join(f"WHEN {i} THEN u{i}" for i in range(8))
 _alpha4 = f"CAST(((CASE k // 2 {_byte_of} END) >> (4 * (k % 2))) & 15 AS DOUBLE) / 15.0::DOUBLE"
-IMAGING.add("C07", lambda s, d: texels(packed_blocks(s, d), B.decode_bc2(col("c0"), col("c1"), ROWS4, A8), RGBA), select_sql(IX2, dict(zip(RGB, colour_sql(True), strict=True)) | {"a": _alpha4}, "ix"))
-IMAGING.add("C10", lambda s, d: texels(packed_blocks(s, d), B.decode_bc3(col("c0"), col("c1"), ROWS4, col("d0"), col("d1"), A8[:6]), RGBA), select_sql(IX2, _cs | {"a": value_sql("d0", "d1", "u")}, "ix"))
-IMAGING.add("C13", lambda s, d: texels(packed_blocks(s, d), B.decode_bc4(col("d0"), col("d1"), A8[:6]), None), select_sql(" ", {"v": value_sql("d0", "d1", "u")}, "tk"))
+IMAGING.add("C07", lambda s, d: texels(packed_blocks(s, d), B.decode_bc2(col("c0"), col("c1"), t_cols(4), u_cols(8)), RGBA), select_sql(IX2, dict(zip(RGB, colour_sql(True), strict=True)) | {"a": _alpha4}, "ix"))
+IMAGING.add("C10", lambda s, d: texels(packed_blocks(s, d), B.decode_bc3(col("c0"), col("c1"), t_cols(4), col("d0"), col("d1"), u_cols(6)), RGBA), select_sql(IX2, _cs | {"a": value_sql("d0", "d1", "u")}, "ix"))
+IMAGING.add("C13", lambda s, d: texels(packed_blocks(s, d), B.decode_bc4(col("d0"), col("d1"), u_cols(6)), None), select_sql(" ", {"v": value_sql("d0", "d1", "u")}, "tk"))
 IMAGING.add(
     "C16",
-    lambda s, d: texels(packed_blocks(s, d), B.decode_bc5((col("d0"), col("d1"), A8[:6]), (col("d1"), col("d0"), ROWS6)), "rg"),
+    lambda s, d: texels(packed_blocks(s, d), B.decode_bc5((col("d0"), col("d1"), u_cols(6)), (col("d1"), col("d0"), t_cols(6))), "rg"),
     select_sql(" ", {"r": value_sql("d0", "d1", "u"), "g": value_sql("d1", "d0", "t")}, "tk"),
 )
 
@@ -413,8 +424,8 @@ IMAGING.add("C16_encode", lambda s, d: encode.encode_bc5(tiling.tiles(rgba(s, d)
 
 NUMBERS_SQL = "WITH tn AS (SELECT vec_id * 4 + q AS tile_id, list_transform(embedding[q * 16 + 1 : q * 16 + 16], lambda v: least(1.0::DOUBLE, greatest(0.0::DOUBLE, CAST(v AS DOUBLE) + 0.5::DOUBLE))) AS tx FROM (SELECT vec_id, embedding, unnest(range(4)) AS q FROM embeddings))"
 IMAGING.add("K01", lambda s, d: tiles_of_numbers(s, d).select("tile_id", F.posexplode("texels").alias("k", "v")).select("tile_id", col("k").cast("long"), F.round("v", 9).alias("projection")), NUMBERS_SQL + "SELECT tile_id, k, round(tx[k + 1], 9) AS projection FROM (SELECT *, unnest(range(16)) AS k FROM tn)")
-_rank = F.transform(F.array_sort(F.transform("texels", lambda v, i: F.struct(v.alias("v"), i.alias("i")))), lambda x: x["i"])
-IMAGING.add("K03", lambda s, d: tiles_of_numbers(s, d).select("tile_id", F.array_join(_rank, ",").alias("ranked")), NUMBERS_SQL + "SELECT tile_id, string_agg(k::VARCHAR, ',' ORDER BY tx[k + 1], k) AS ranked FROM (SELECT *, unnest(range(16)) AS k FROM tn) GROUP BY tile_id")
+_rank = lambda: F.transform(F.array_sort(F.transform("texels", lambda v, i: F.struct(v.alias("v"), i.alias("i")))), lambda x: x["i"])
+IMAGING.add("K03", lambda s, d: tiles_of_numbers(s, d).select("tile_id", F.array_join(_rank(), ",").alias("ranked")), NUMBERS_SQL + "SELECT tile_id, string_agg(k::VARCHAR, ',' ORDER BY tx[k + 1], k) AS ranked FROM (SELECT *, unnest(range(16)) AS k FROM tn) GROUP BY tile_id")
 IMAGING.add("K04", lambda s, d: tiles_of_numbers(s, d).select("tile_id", F.round(F.array_min("texels"), 9).alias("low"), F.round(F.array_max("texels"), 9).alias("high")), NUMBERS_SQL + "SELECT tile_id, round(list_min(tx), 9) AS low, round(list_max(tx), 9) AS high FROM tn")
 
 
@@ -633,10 +644,16 @@ _bits_sql = "SELECT o_orderkey AS id, " + " || ".join(f"printf('%02X', ({_whole}
 for _name in ("X01", "X02"):
     IMAGING.add(_name, lambda s, d: table(s, d, "orders").select("o_orderkey").mapInArrow(_bits, "id long, data string, a long, b long, c long"), _bits_sql)
 IMAGING.add("X03", lambda s, d: table(s, d, "orders").select("o_orderkey", B.hex_bytes([(col("o_orderkey"), 4), (col("o_custkey"), 8)]).alias("data")), "SELECT o_orderkey, " + " || ".join([f"printf('%02X', (o_orderkey >> {8 * i}) & 255)" for i in range(4)] + [f"printf('%02X', (o_custkey >> {8 * i}) & 255)" for i in range(8)]) + " AS data FROM orders")
-_dist, _len = col("o_orderkey") * 13 % 2048, col("o_custkey") % 8
-_d, _l = coders.unpack_match(col("code"))
+
+
+def _matches(spark, sf_dir):
+    packed_code = coders.pack_match(col("o_orderkey") * 13 % 2048, col("o_custkey") % 8)
+    d, n = coders.unpack_match(col("code"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", packed_code.alias("code")).select("o_orderkey", "code", d.alias("distance"), n.alias("length"))
+
+
 _code_sql = "(CASE WHEN d < 32 THEN 0 WHEN d < 128 THEN 16384 WHEN d < 512 THEN 32768 ELSE 49152 END + l * CASE WHEN d < 32 THEN 32 WHEN d < 128 THEN 128 WHEN d < 512 THEN 512 ELSE 2048 END + d)"
-IMAGING.add("X07", lambda s, d: table(s, d, "orders").select("o_orderkey", coders.pack_match(_dist, _len).alias("code")).select("o_orderkey", "code", _d.alias("distance"), _l.alias("length")), f"SELECT o_orderkey, CAST({_code_sql} AS BIGINT) AS code, d AS distance, l AS length FROM (SELECT o_orderkey, o_orderkey * 13 % 2048 AS d, o_custkey % 8 AS l FROM orders)")
+IMAGING.add("X07", _matches, f"SELECT o_orderkey, CAST({_code_sql} AS BIGINT) AS code, d AS distance, l AS length FROM (SELECT o_orderkey, o_orderkey * 13 % 2048 AS d, o_custkey % 8 AS l FROM orders)")
 
 # ---- end to end -----------------------------------------------------------
 
@@ -645,7 +662,7 @@ def end_to_end(spark, sf_dir):
     """Pixels to tiles, encoded, decoded, stitched: each image's error and sizes."""
     p = smooth_pixels(spark, sf_dir).select(*KEYS, *RGB)
     blocks = encode.encode_bc1(tiling.tiles(p, RGB))
-    decoded = F.transform(B.decode_bc1(col("c0"), col("c1"), ROWS4), lambda t: F.struct(*[C.quantise(t[c]).alias(c) for c in RGB]))
+    decoded = F.transform(B.decode_bc1(col("c0"), col("c1"), t_cols(4)), lambda t: F.struct(*[C.quantise(t[c]).alias(c) for c in RGB]))
     back = tiling.stitch(blocks.select("image_id", "bx", "by", "width", "height", decoded.alias("texels")))
     err = statistics.image_error(p, back)
     return err.select("image_id", "pixels", F.round("error", 5).alias("error"), (F.ceil(col("pixels") / 2)).alias("bytes_at_4_bits"))
