@@ -20,6 +20,8 @@ def components(edges: DataFrame, staged: Staged, name: str = "cc") -> DataFrame:
     """
     cur = staged.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")
     for i in range(1, MAX_ROUNDS + 1):
+        if i == 1 and cur.isEmpty():
+            break
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

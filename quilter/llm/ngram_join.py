@@ -11,14 +11,14 @@ threshold link; a group is a connected component.
    order; putting hot shingles last only keeps shared passages out of the index.
    Records are packed by key range, so a shuffle moves 20 bytes a record.
 3. Nodes with a key in common are united into tiles of bounded size, and a tile is cut
-   wherever sizes differ by more than the threshold allows. Tiles with the same members
-   are one; a key with more members than a tile holds becomes overlapping tiles that
-   cover every pair of compatible sizes.
-4. A tile holds its members' sets and, for each, a bitmap of hashed shingles. The bits in
-   which two bitmaps differ bound the sets' difference from below, so most pairs are
-   ruled out by a popcount; the rest are settled by intersecting the sorted arrays,
-   but only while the two are not yet connected. No pairs leave a tile, only links
-   that join something new.
+   wherever sizes differ by more than the threshold allows. Tiles that overlap become one
+   as long as that is within the bound; a key with more members than a tile holds becomes
+   overlapping tiles that cover every pair of compatible sizes.
+4. A tile first gets a bitmap of hashed shingles for each member. The bits in which two
+   bitmaps differ bound the sets' difference from below, so a popcount rules out most
+   pairs; what it leaves connected are smaller tiles. Only those get the sets
+   themselves: pairs are settled by intersecting sorted arrays, but only while the two are not
+   yet connected. No pairs leave a tile, only one link for each member that is connected.
 5. Components of the links, by alternating stars.
 
 No link between different sets is lost: prefixes, size bands and bitmaps only rule out
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quilter.llm.bytes_np import BASE, BYTE_KEYS, INVERSE, mix, powers, text_bytes
+from quilter.llm.bytes_np import BASE, BYTE_KEYS, INVERSE, binary_column, mix, powers, text_bytes
 from quilter.llm.common import Staged, arrow_map
 from quilter.llm.components import components
 
@@ -51,11 +51,13 @@ NUM, DEN = 80, 100
 CHUNK_BYTES = 1 << 20
 #: A tile's sets hold at most this many shingles, unless two members alone hold more.
 TILE_SHINGLES = 1 << 21
+#: The bound for tiles that were merged: 64 MB of hashes in one task.
+MERGED_SHINGLES = 1 << 23
 #: A shingle is hot in more documents than this, or than one in HOT_SHARE of all.
-HOT_LEAST, HOT_SHARE = 256, 1 << 14
+HOT_LEAST, HOT_SHARE = 16, 1 << 14
 #: Part of the hash space in which hot shingles are sought: prefixes hold the smallest hashes.
 HOT_BELOW = np.uint64(int(0.3 * 2**64))
-HOT_BUFFER, HOT_LOCAL = 1 << 21, 4
+HOT_BUFFER, HOT_LOCAL = 1 << 21, 2
 #: At most so many ids are broadcast to pick the texts whose sets are needed.
 BROADCAST_IDS = 500_000
 
@@ -137,31 +139,55 @@ def digests(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(total[offsets[1:]] - total[offsets[:-1]] + (np.diff(offsets).astype(np.uint64) << np.uint64(40)))
 
 
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two not under twice its size."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+
+
+def bitmaps(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each set's bitmap, flat, and n + 1 offsets. Bit h mod width is set for each hash h."""
+    n = np.diff(offsets)
+    width = widths(n)
+    start = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(n)), n)
+    bits = np.zeros(start[-1], bool)
+    bits[start[owner] + (hashes & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little"), start // 8
+
+
 def _measure(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
     """Rows (id, n, node) of documents and rows (key, times) of shingles seen again and again in this task."""
     shingler, kept, held = Shingler(), [], 0
-    id_type = None
+    seen: set[int] = set()  # sets counted since the last rows of shingles
+    id_type, names = None, [id_col, "n", "node", "bits", "key", "times"]
 
     def recurring() -> pa.RecordBatch:
         key, times = np.unique(np.concatenate(kept), return_counts=True)
         key, times = key[times >= HOT_LOCAL], times[times >= HOT_LOCAL]
         none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(key), id_type), none, none, pa.array(key.view(np.int64)), pa.array(times)], [id_col, "n", "node", "key", "times"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), id_type), none, none, pa.nulls(len(key), pa.binary()), pa.array(key.view(np.int64)), pa.array(times)], names)
 
     for batch in batches:
         id_type = batch.column(0).type
-        n, node = [], []
+        n, node, bits = [], [], []
         for _, _, hashes, offsets in shingler.column(batch.column(1)):
+            data, ends = bitmaps(hashes, offsets)
+            bits.append(binary_column(data, ends))
             n.append(np.diff(offsets))
             node.append(digests(hashes, offsets))
-            kept.append(hashes[hashes < HOT_BELOW])
+            fresh = np.zeros(len(offsets) - 1, bool)
+            for i, name in enumerate(node[-1].tolist()):
+                fresh[i] = name not in seen
+                seen.add(name)
+            kept.append(hashes[(hashes < HOT_BELOW) & np.repeat(fresh, n[-1])])
             held += len(kept[-1])
             if held > HOT_BUFFER:
                 yield recurring()
                 kept, held = [], 0
+                seen.clear()
         if n:
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(node).view(np.int64)), none, none], [id_col, "n", "node", "key", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(node).view(np.int64)), pa.concat_arrays(bits), none, none], names)
     if held:
         yield recurring()
 
@@ -309,37 +335,75 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(digests(hashes, offsets).view(np.int64)), pa.array(np.diff(offsets)), data], ["node", "n", "set"])
 
 
-def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between sets ordered by size, enough to connect whatever is connected."""
-    sizes = np.array(list(map(len, sets)))
-    width = 64
-    while width < min(4 * int(sizes.max()), 1 << 14):
-        width *= 2
-    bits = np.zeros((len(sets), width // 64), np.uint64)
-    for i, s in enumerate(sets):
-        at = (s & np.uint64(width - 1)).astype(np.int64)
-        np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    union, links = Union(len(sets)), []
-    for i in range(len(sets) - 1):
+def near_by_bits(sizes: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set, those after it that its bitmap cannot rule out, nearest first, and the differing bits.
+
+    Sets are ordered by size. Of compatible sets the larger has a bitmap of the same width or twice it;
+    twice it is folded. J >= t means |A xor B| <= (1 - t) / (1 + t) (|A| + |B|), and differing bits are at most that many.
+    """
+    width = np.array(list(map(len, bits)))
+    first = np.searchsorted(width, np.unique(width))
+    of: dict[int, tuple[int, np.ndarray]] = {}
+    folded: dict[int, np.ndarray] = {}
+    for at, end in zip(first.tolist(), [*first[1:].tolist(), len(width)], strict=True):
+        rows = np.stack(bits[at:end]).view(np.uint64)
+        of[int(width[at])] = at, rows
+        if rows.shape[1] > 1:
+            folded[int(width[at]) // 2] = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+    for i in range(len(bits) - 1):
         last = int(np.searchsorted(sizes, sizes[i] * DEN // NUM, "right"))
         if last <= i + 1:
             continue
-        apart = np.bitwise_count(bits[i + 1 : last] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        # J >= t  <=>  |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)
-        near = np.flatnonzero(apart * (DEN + NUM) <= (DEN - NUM) * (sizes[i + 1 : last] + sizes[i])) + i + 1
-        for j in near[np.argsort(apart[near - i - 1], kind="stable")].tolist():
+        at, rows = of[int(width[i])]
+        own, same = rows[i - at], min(last, at + len(rows))
+        apart = np.bitwise_count(rows[i + 1 - at : same - at] ^ own).sum(axis=1, dtype=np.int64)
+        if last > same:
+            more = folded[int(width[i])][: last - same]
+            apart = np.concatenate([apart, np.bitwise_count(more ^ own).sum(axis=1, dtype=np.int64)])
+        near = np.flatnonzero(apart * (DEN + NUM) <= (DEN - NUM) * (sizes[i + 1 : last] + sizes[i]))
+        near = near[np.argsort(apart[near], kind="stable")]
+        yield i, near + i + 1, apart[near]
+
+
+def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets ordered by size that connect whatever is connected, each to the first of its group."""
+    sizes = np.array(list(map(len, sets)))
+    flat, ends = bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    union = Union(len(sets))
+    for i, near, _ in near_by_bits(sizes, np.split(flat, ends[1:-1])):
+        for j in near.tolist():
             if union.find(i) != union.find(j):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if DEN * both >= NUM * (len(sets[i]) + len(sets[j]) - both):
                     union.join(i, j)
-                    links.append((i, j))
-    return links
+    return [(union.find(i), i) for i in range(len(sets)) if union.find(i) != i]
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile, the groups of nodes that bitmaps leave connected, as smaller tiles."""
+    for _, held in _by_run(batches, 0):
+        nodes = np.concatenate([h.column(1).to_numpy() for h in held])
+        sizes = np.concatenate([h.column(2).to_numpy() for h in held])
+        bits = [np.frombuffer(x, np.uint8) for h in held for x in h.column(3).to_pylist()]
+        nodes, own = np.unique(nodes, return_index=True)
+        order = np.argsort(sizes[own], kind="stable")
+        nodes, sizes, bits = nodes[order], sizes[own][order], [bits[k] for k in own[order]]
+        union = Union(len(nodes))
+        for i, near, _ in near_by_bits(sizes, bits):
+            for j in near.tolist():
+                union.join(i, j)
+        root = np.array([union.find(i) for i in range(len(nodes))])
+        many = np.bincount(root, minlength=len(nodes))[root] > 1
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[root[many]]), pa.array(nodes[many])], ["tile", "node"])
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, held in _by_run(batches, 0):
         nodes = np.concatenate([h.column(1).to_numpy() for h in held])
         sets = [np.frombuffer(x, np.uint64) for h in held for x in h.column(2).to_pylist()]
+        nodes, own = np.unique(nodes, return_index=True)
+        sets = [sets[k] for k in own]
         order = np.argsort(list(map(len, sets)), kind="stable")
         links = links_of([sets[i] for i in order])
         if links:
@@ -347,12 +411,23 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[order[a]]), pa.array(nodes[order[b]])], ["a", "b"])
 
 
+def merged(tiles: DataFrame, measured: DataFrame, staged: Staged, name: str = "tiles") -> DataFrame:
+    """Tiles that overlap become one, where that one is within a tile's size; so most sets travel once."""
+    around = components(tiles.select(F.col("node").alias("a"), F.col("first").alias("b")), staged, f"{name}_cc")
+    sizes = measured.select("node", "n").dropDuplicates(["node"])
+    weight = around.join(sizes, "node").groupBy("root").agg(F.sum("n").alias("weight"))
+    around = staged.put(around.join(weight, "root").select("node", "root", (F.col("weight") <= MERGED_SHINGLES).alias("fits")), f"{name}_around")
+    one = around.where("fits").select(F.col("root").alias("tile"), "node")
+    apart = tiles.join(around.where("not fits"), "node", "left_semi").select("tile", "node")
+    return staged.put(one.union(apart), f"{name}_merged")
+
+
 def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, n_shingles, component_id of every row."""
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
     staged = Staged(spark)
     docs = df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    both = staged.put(arrow_map(docs, partial(_measure, id_col="id_"), f"id_ {kind}, n long, node long, key long, times long"), "measured")
+    both = staged.put(arrow_map(docs, partial(_measure, id_col="id_"), f"id_ {kind}, n long, node long, bits binary, key long, times long"), "measured")
     measured = both.where("n is not null").select("id_", "n", "node")
     limit = max(HOT_LEAST, measured.count() // HOT_SHARE)
     # The limit grows with the documents, so that at most HOT_SHARE times the mean set size shingles are hot.
@@ -364,14 +439,21 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     index = arrow_map(docs.select("text_").where("text_ is not null"), partial(_index, hot=hot, parts_log=parts_log), "part int, data binary")
     index = index.repartition(shuffles, "part").sortWithinPartitions("part")
     tiles = arrow_map(index, _tile, "tile long, nodes array<long>")
-    tiles = staged.put(tiles.dropDuplicates(["tile"]).select("tile", F.explode("nodes").alias("node")), "tiles")
+    tiles = staged.put(tiles.dropDuplicates(["tile"]).select("tile", F.explode("nodes").alias("node"), F.element_at("nodes", 1).alias("first")), "tiles")
+    tiles = merged(tiles, measured, staged)
+
+    signed = both.where("n > 0").select("node", "n", "bits").join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    signed = tiles.join(signed, "node").select("tile", "node", "n", "bits").repartition(shuffles, "tile").sortWithinPartitions("tile")
+    tiles = staged.put(arrow_map(signed, _screen, "tile long, node long").distinct(), "screened")
+    tiles = merged(tiles.withColumn("first", F.col("tile")), measured, staged, "screened")
 
     needed = tiles.select("node").distinct()
     chosen = staged.put(measured.join(needed, "node", "left_semi").groupBy("node").agg(F.min("id_").alias("id_")).select("id_").distinct(), "chosen")
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     texts = docs.join(chosen.withColumnRenamed("id_", "chosen_"), F.col("id_").eqNullSafe(F.col("chosen_")), "left_semi").select("text_")
-    sets = arrow_map(texts, _sets, "node long, n long, set binary").dropDuplicates(["node"])
+    # rows that repeat an id may give a set twice; a tile takes it once
+    sets = arrow_map(texts, _sets, "node long, n long, set binary")
     members = tiles.join(sets, "node").select("tile", "node", "set")
     members = members.repartition(shuffles, "tile").sortWithinPartitions("tile")
     links = arrow_map(members, _link, "a long, b long")
