@@ -77,17 +77,21 @@ def _code(ch: Column) -> Column:
 
 
 def _grams(text: Column) -> Column:
-    """The 4-gram number that ends at each character."""
-    s = _symbols(text)
-    n = F.length(s) - (ORDER - 1)
+    """The 4-gram number that ends at each character; symbols are looked up once for each character."""
+    codes = F.transform(F.split(_symbols(text), ""), _code)
 
-    def gram(i: Column) -> Column:
-        total = F.lit(0)
-        for k in range(ORDER):
-            total = F.shiftleft(total, BITS) + _code(F.substring(s, i + k, F.lit(1)))
-        return total
+    def of(codes: Column) -> Column:
+        n = F.size(codes) - (ORDER - 1)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), gram)).otherwise(F.array().cast("array<int>"))
+        def gram(i: Column) -> Column:
+            total = F.lit(0)
+            for k in range(ORDER):
+                total = F.shiftleft(total, BITS) + F.element_at(codes, i + k)
+            return total
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), gram)).otherwise(F.array().cast("array<int>"))
+
+    return F.element_at(F.transform(F.array(codes), of), 1)
 
 
 def _model(counts: DataFrame) -> DataFrame:
@@ -108,22 +112,28 @@ def _model(counts: DataFrame) -> DataFrame:
     return out.select("gram", (F.log("pr") - F.log("pa")).alias("llr"))
 
 
+def url_key(url: Column) -> Column:
+    """Digest of a URL, null as empty."""
+    return F.md5(F.coalesce(url, F.lit("")))
+
+
 def score_urls(urls: DataFrame, url_col: str, label: Column, staged: Staged) -> tuple[DataFrame, float]:
     """Score of each distinct URL and the calibrated cut-off.
 
     label: 'accept', 'reject' or null (not used for training) from the URL.
-    Returns (url, score) with score 0 for texts of no characters.
+    Returns (key, score), without rows for texts of no characters.
     """
-    one = urls.select(F.coalesce(F.col(url_col), F.lit("")).alias("u")).groupBy("u").agg(F.count("*").alias("w"))
-    one = one.withColumn("label", label)
+    text = F.coalesce(F.col(url_col), F.lit(""))
+    one = urls.select(url_key(F.col(url_col)).alias("key"), text.alias("u")).dropDuplicates(["key"])
     bare = F.regexp_replace(F.col("u"), r"^[^:]*://", "")
-    grams = one.select("u", "label", F.explode(_grams(bare)).alias("gram"))
+    # digests stand for URLs, which may be long, in all that has a row for each character
+    grams = one.select("key", label.alias("label"), _grams(bare).alias("grams")).select("key", "label", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(
         F.count(F.when(F.col("label") == "accept", 1)).alias("a"),
         F.count(F.when(F.col("label") == "reject", 1)).alias("r"),
     )
     model = staged.put(_model(counts), "url_model")  # at most 32**4 rows
-    scored = grams.join(F.broadcast(model), "gram").groupBy("u", "label").agg(F.avg("llr").alias("score"))
+    scored = grams.join(F.broadcast(model), "gram").groupBy("key", "label").agg(F.avg("llr").alias("score"))
     scored = staged.put(scored, "url_scores")
     step = F.floor(F.col("score") / HISTOGRAM_STEP)
     bins = scored.where("label is not null").groupBy(step.alias("bin")).agg(
@@ -142,7 +152,7 @@ def score_urls(urls: DataFrame, url_col: str, label: Column, staged: Staged) ->
         .head()
     )
     cut = best["bin"] * HISTOGRAM_STEP if best else float("inf")
-    return scored.select("u", "score"), cut
+    return scored.select("key", "score"), cut
 
 
 def seed_label(host: Column) -> Column:
@@ -163,7 +173,7 @@ def judge_urls(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[tupl
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    joined = rows.join(scores, "u", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    joined = rows.withColumn("key", url_key(F.col("url_"))).join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return joined.select(
         id_col, "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("score") >= cut, "block").otherwise("allow")).alias("verdict"),
