@@ -5,16 +5,19 @@ Words of items and documents are put in canonical form: numbers, units after num
 lower-cased. Windows of ``WINDOW`` canonical words are hashed and joined with those of all items. On a
 common diagonal (document position less item position) a match must be consistent: equal
 slot values of the item correspond to equal values in the document and different ones
-to different ones, so a re-parameterised question is caught and chance likeness is not. A
-document is contaminated by an item if the consistent windows cover ``COVER`` of the item's words.
+to different ones, so a re-parameterised question is caught and chance likeness is not. Beside
+its template each window is known by the hash of its words' values, slots or not; equal values match
+as they are, so a verbatim copy is found whatever it is made of and wherever it stands. A
+document is contaminated by an item if the matching windows cover ``COVER`` of the item's words.
 
 The items' hashes are shipped to the workers in blocks of at most ``BLOCK_CHARS`` characters of items,
 each block one pass over the documents; so what is broadcast has a fixed bound, and any number of
 items is joined in full. Documents are read where they stand, without a shuffle.
 
 Defined results: null or empty text is clean; items without a word are never found; items of
-fewer words than a window are one window; a window must hold ``LITERALS`` words that are not
-placeholders (all of them in shorter windows); equal items are each reported.
+fewer words than a window are one window, matched by values alone; a template must hold ``LITERALS``
+words that are not placeholders, values need none (an item that is one number is found wherever
+that number stands); equal items are each reported.
 """
 
 from __future__ import annotations
@@ -83,17 +86,50 @@ class Reader:
         return canonical[words], self.value[at][words], (number | unit | name)[words]
 
 
-def window_hashes(canonical: np.ndarray, slot: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that begins at each word, and whether it has enough literals."""
-    n = len(canonical) - width + 1
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the window that begins at each word."""
+    n = len(words) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    literals = np.zeros(n, np.int64)
     for k in range(width):
-        total += canonical[k : k + n] * KEYS[k]
-        literals += ~slot[k : k + n]
-    return mix(total + np.uint64(width)), literals >= least
+        total += words[k : k + n] * KEYS[k]
+    return mix(total + np.uint64(width))
+
+
+def templates(canonical: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the full window that begins at each word, and whether it has enough literals."""
+    h = window_hashes(canonical, WINDOW)
+    before = np.concatenate([[0], np.cumsum(~slot)])
+    return h, before[WINDOW:] - before[: len(h)] >= LITERALS
+
+
+class Places:
+    """Where in the items a window of some hash begins."""
+
+    def __init__(self):
+        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+
+    def add(self, item: int, hashes: np.ndarray, at: np.ndarray) -> None:
+        for p in at.tolist():
+            self.places[int(hashes[p])].append((item, p))
+
+    def close(self) -> None:
+        self.known = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.known >> np.uint64(42)).astype(np.int64)] = True
+        self.places = dict(self.places)
+
+    def find(self, hashes: np.ndarray, good: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """(position, item, item's position) of the windows that are known."""
+        maybe = self.bits[(hashes >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(maybe if good is None else maybe & good)
+        if not len(maybe):
+            return
+        near = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+        for p in maybe[self.known[near] == hashes[maybe]].tolist():
+            for item, q in self.places[int(hashes[p])]:
+                yield p, item, q
 
 
 class Index:
@@ -102,48 +138,47 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]]):
         reader = Reader()
         self.items, self.values, self.slots = [], [], []
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.widths: dict[int, int] = {}
+        self.templates, self.exact = Places(), Places()
+        self.widths: set[int] = set()
         for item, text in items:
             canonical, value, slot = reader.read(text or "")
             if not len(canonical):
                 continue
             width = min(WINDOW, len(canonical))
-            least = min(LITERALS, width) if width == WINDOW else width
-            h, good = window_hashes(canonical, slot, width, least)
-            self.widths[width] = least
-            for p in np.flatnonzero(good).tolist():
-                self.places[int(h[p])].append((len(self.items), p))
+            self.widths.add(width)
+            h, good = templates(canonical, slot)
+            self.templates.add(len(self.items), h, np.flatnonzero(good))
+            h = window_hashes(value, width)
+            self.exact.add(len(self.items), h, np.arange(len(h)))
             self.items.append(item)
             self.values.append(value)
             self.slots.append(slot)
-        self.known = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.known >> np.uint64(42)).astype(np.int64)] = True
-        self.places = dict(self.places)
+        self.templates.close()
+        self.exact.close()
 
     def match(self, canonical: np.ndarray, value: np.ndarray, slot: np.ndarray, cover: float) -> list[tuple[object, float]]:
         """(item, covered share of its words) of the items that contaminate a text."""
-        lines: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for width, least in self.widths.items():
-            h, good = window_hashes(canonical, slot, width, least)
-            maybe = np.flatnonzero(good & self.bits[(h >> np.uint64(42)).astype(np.int64)]) if len(h) else []
-            if not len(maybe):
-                continue
-            near = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
-            for p in maybe[self.known[near] == h[maybe]].tolist():
-                for item, q in self.places[int(h[p])]:
-                    lines[item, p - q].append((p, q, width))
         covered: dict[int, np.ndarray] = {}
+
+        def mark(item: int, q: int, width: int) -> None:
+            if item not in covered:
+                covered[item] = np.zeros(len(self.values[item]), bool)
+            covered[item][q : q + width] = True
+
+        for width in self.widths:
+            for _, item, q in self.exact.find(window_hashes(value, width)):
+                mark(item, q, width)
+        lines: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for p, item, q in self.templates.find(*templates(canonical, slot)):
+            lines[item, p - q].append((p, q))
         for (item, _), hits in sorted(lines.items()):
             there, back = {}, {}
-            for p, q, width in hits:
-                pairs = [(int(self.values[item][q + k]), int(value[p + k])) for k in range(width) if self.slots[item][q + k]]
+            for p, q in hits:
+                pairs = [(int(self.values[item][q + k]), int(value[p + k])) for k in range(WINDOW) if self.slots[item][q + k]]
                 if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs) and len(dict(pairs)) == len({b: a for a, b in pairs}):
                     there.update(pairs)
                     back.update((b, a) for a, b in pairs)
-                    mask = covered.setdefault(item, np.zeros(len(self.values[item]), bool))
-                    mask[q : q + width] = True
+                    mark(item, q, WINDOW)
         shares = [(self.items[i], float(m.mean())) for i, m in sorted(covered.items())]
         return [(i, s) for i, s in shares if s >= cover]
 
