@@ -8,7 +8,8 @@ slot values of the item correspond to equal values in the document and different
 to different ones, so a re-parameterised question is caught and chance likeness is not. Beside
 its template each window is known by the hash of its words' values, slots or not; equal values match
 as they are, so a verbatim copy is found whatever it is made of and wherever it stands. A
-document is contaminated by an item if the matching windows cover ``COVER`` of the item's words.
+document is contaminated by an item if the matching windows cover ``COVER`` of the item's words, or
+if it holds ``RUN`` of its words in a row as they are, whatever share of the item that is.
 
 The items' hashes are shipped to the workers in blocks of at most ``BLOCK_CHARS`` characters of items,
 each block one pass over the documents; so what is broadcast has a fixed bound, and any number of
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from quilter.llm.bytes_np import mix
 from quilter.llm.common import arrow_map
 
-WINDOW, LITERALS, COVER = 8, 4, 0.5
+WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 13
 BLOCK_CHARS, MEMO_WORDS = 16 << 20, 400_000
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]")
@@ -165,9 +166,17 @@ class Index:
                 covered[item] = np.zeros(len(self.values[item]), bool)
             covered[item][q : q + width] = True
 
+        ends: dict[tuple[int, int], tuple[int, int]] = {}  # run of equal words on a diagonal: (begin, end) in the item
+        quoted: set[int] = set()
         for width in self.widths:
-            for _, item, q in self.exact.find(window_hashes(value, width)):
+            for p, item, q in self.exact.find(window_hashes(value, width)):
                 mark(item, q, width)
+                begin, end = ends.get((item, p - q), (q, q))
+                if q > end:
+                    begin = q
+                ends[item, p - q] = begin, q + width
+                if q + width - begin >= RUN:
+                    quoted.add(item)
         lines: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for p, item, q in self.templates.find(*templates(canonical, slot)):
             lines[item, p - q].append((p, q))
@@ -179,8 +188,8 @@ class Index:
                     there.update(pairs)
                     back.update((b, a) for a, b in pairs)
                     mark(item, q, WINDOW)
-        shares = [(self.items[i], float(m.mean())) for i, m in sorted(covered.items())]
-        return [(i, s) for i, s in shares if s >= cover]
+        shares = [(i, float(m.mean())) for i, m in sorted(covered.items())]
+        return [(self.items[i], s) for i, s in shares if s >= cover or i in quoted]
 
 
 def _match(batches: Iterator[pa.RecordBatch], index, id_col: str, cover: float, keep: str | None) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,17 @@ def test_other_values_need_literals():
     assert not found(ITEMS, "Sum 4, 9, 22, 35, 56, 90, 145, 234 and 378")
 
 
+def test_a_run_of_words_is_enough():
+    words = [f"{a}{b}" for a in ("be", "da", "fo", "gi", "hu", "ko") for b in ("lan", "mur", "nep", "ros", "sif", "tav", "vel", "wim", "xon", "zed")][:59]
+    item = " ".join(words)
+    assert [i for i, _ in found([item], "so " + " ".join(words[20:45]) + " it is")] == [0]
+    assert [i for i, _ in found([item], " ".join(words[-decontaminate.RUN :]))] == [0]
+    assert not found([item], " ".join(words[: decontaminate.RUN - 1]))
+    # words next to one another in the item alone, or in the text alone, are no run
+    assert not found([item], " ".join([*words[:9], "then", *words[9:18]]))
+    assert not found([item], " ".join([*words[:9], *words[30:39]]))
+
+
 def test_rows_in_spark(spark):
     docs = spark.createDataFrame([(1, "Quiz: What is 15 times 4?"), (2, "What is 15 times 5?"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, ITEMS[0])], "item_id long, text string")
