@@ -7,8 +7,9 @@ empty; so do lines that are mostly links outside an article. The lengths of the
 lines are summed over sliding windows of ``WINDOW`` lines. Where a window's sum
 surges over the threshold a text region begins; it ends where the sum dives to
 nothing. The regions' lines are the main text. Inside an article the threshold is
-one character, so short paragraphs stay; elsewhere a region must hold one
-window of at least ``SURGE`` characters or the page's largest window.
+one character, so short paragraphs stay and the elements alone decide; elsewhere a region
+must hold one window of at least ``SURGE`` characters or the page's largest window, or
+lie between two regions that do or be the last before or the first after those.
 
 One pass, linear in the page's length; nothing is dropped or capped otherwise.
 Defined results: null or empty html, or a page without main text, gives the empty
@@ -207,7 +208,7 @@ def main_text(page: str | None) -> str:
         if i >= WINDOW - 1:
             sums.append(total)
     surge = 1 if inside else min(SURGE, max(sums))
-    kept: list[str] = []
+    regions: list[tuple[int, int, bool]] = []  # from line to line, and whether a window reaches the threshold
     i = 0
     while i < n:
         if not sums[i]:
@@ -217,12 +218,13 @@ def main_text(page: str | None) -> str:
         while end < n and sums[end]:
             end += 1
         # [i, end) is a region from a rise over nothing to the dive back to it
-        if max(sums[i:end]) >= surge:
-            kept += [found[k][0] for k in range(i, min(n, end + WINDOW - 1)) if size[k]]
+        regions.append((i, min(n, end + WINDOW - 1), max(sums[i:end]) >= surge))
         i = end
         while i < n and i < end + WINDOW - 1 and not sums[i]:
             i += 1
-    return "\n".join(kept)
+    high = [k for k, (_, _, surges) in enumerate(regions) if surges]
+    kept = regions[max(0, high[0] - 1) : high[-1] + 2]
+    return "\n".join(found[k][0] for begin, end, _ in kept for k in range(begin, end) if size[k])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
