@@ -25,6 +25,29 @@ CONSTANTS = {
     "bc4_black": {"c0": 255, "c1": 0, "index": 7},
     "bc4_white": {"c0": 255, "c1": 0, "index": 0},
 }
+#: Blocks of one colour made of two halves: a constant, or eight equal bytes of alpha (fixed values).
+COMPOSED = {
+    "bc2_black": (0xFF, "bc1_black"),
+    "bc2_white": (0xFF, "bc1_white"),
+    "bc2_transparent": (0x00, "bc1_transparent"),
+    "bc3_black": ("bc4_white", "bc1_black"),
+    "bc3_white": ("bc4_white", "bc1_white"),
+    "bc3_transparent": ("bc4_black", "bc1_black"),
+    "bc5_black": ("bc4_black", "bc4_black"),
+    "bc5_white": ("bc4_white", "bc4_white"),
+}
+
+
+def constant_bytes(name: str | int) -> bytes:
+    """A constant as its block's bytes."""
+    if isinstance(name, int):
+        return bytes([name] * 8)
+    if name in COMPOSED:
+        return b"".join(map(constant_bytes, COMPOSED[name]))
+    c = CONSTANTS[name]
+    end, bits = (2, 2) if name.startswith("bc1") else (1, 3)
+    index = sum(c["index"] << bits * k for k in range(TEXELS))
+    return c["c0"].to_bytes(end, "little") + c["c1"].to_bytes(end, "little") + index.to_bytes(TEXELS * bits // 8, "little")
 
 
 def palette4(c0: Column, c1: Column) -> list[list[Column]]:

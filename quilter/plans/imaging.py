@@ -409,6 +409,13 @@ def _constants(spark, sf_dir):
 
 IMAGING.add("C17", _constants, "SELECT name, c0::BIGINT AS c0, c1::BIGINT AS c1, index::BIGINT AS index FROM (VALUES ('bc1_black', 65535, 0, 3), ('bc1_white', 65535, 0, 0), ('bc1_transparent', 0, 0, 3), ('bc4_black', 255, 0, 7), ('bc4_white', 255, 0, 0)) t(name, c0, c1, index)")
 
+#: C17 holds the fields of five constants; here are the bytes of all thirteen.
+IMAGING.add(
+    "C17_bytes",
+    lambda s, d: s.createDataFrame([(n, B.constant_bytes(n).hex().upper()) for n in [*B.CONSTANTS, *B.COMPOSED]], "name string, bytes string"),
+    "SELECT name, bytes FROM (VALUES ('bc1_black', 'FFFF0000FFFFFFFF'), ('bc1_white', 'FFFF000000000000'), ('bc1_transparent', '00000000FFFFFFFF'), ('bc4_black', 'FF00FFFFFFFFFFFF'), ('bc4_white', 'FF00000000000000'), ('bc2_black', 'FFFFFFFFFFFFFFFFFFFF0000FFFFFFFF'), ('bc2_white', 'FFFFFFFFFFFFFFFFFFFF000000000000'), ('bc2_transparent', '000000000000000000000000FFFFFFFF'), ('bc3_black', 'FF00000000000000FFFF0000FFFFFFFF'), ('bc3_white', 'FF00000000000000FFFF000000000000'), ('bc3_transparent', 'FF00FFFFFFFFFFFFFFFF0000FFFFFFFF'), ('bc5_black', 'FF00FFFFFFFFFFFFFF00FFFFFFFFFFFF'), ('bc5_white', 'FF00000000000000FF00000000000000')) t(name, bytes)",
+)
+
 # ---- encoders: searches, tested against brute force -----------------------
 
 IMAGING.add("C04", lambda s, d: encode.encode_bc1(tiling.tiles(rgb(s, d), RGB)))
