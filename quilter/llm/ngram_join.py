@@ -471,8 +471,13 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each group, that with the group's name; columns unchanged."""
-    kept = join(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_")).distinct()
-    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_")), "left_semi")
-    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return rows.withColumn("again_", F.row_number().over(again)).where("again_ = 1").drop("again_")
+    """One row of each group, of the smallest id (a null one last), then digest of the text; columns unchanged.
+
+    Rows are told apart by id and text, so repeated and null ids are no exception; texts without a shingle are groups of their own.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    groups = join(df.select(key.alias("key_"), F.col(text_col).alias("own_")), "key_", "own_")
+    kept = groups.where(F.col("key_").eqNullSafe(F.col("component_id"))).select(F.col("key_").alias("kept_")).distinct()
+    rows = df.withColumn("key_", key).join(kept, F.col("key_").eqNullSafe(F.col("kept_")), "left_semi")
+    again = Window.partitionBy("key_").orderBy(F.lit(0))
+    return rows.withColumn("again_", F.row_number().over(again)).where("again_ = 1").drop("again_", "key_")
