@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
+import pyarrow as pa
 import quilter
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only where one machine is all there is may it be unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "/tmp/quilter-shared").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"{tempfile.gettempdir()}/quilter-shared"
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many underscores as keep it from meeting another."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -55,9 +71,19 @@ class Staged:
         _forget(self.spark, f"{self.root}/{name}")
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.RecordBatch]:
+    def pieces() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            rows = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
+            for at in range(0, n, rows):
+                yield batch.slice(at, rows)
+
+    yield from fn(pieces())
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` over batches bounded in rows and bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    """``df.mapInArrow`` over batches bounded in rows and bytes; the session's own bounds stay as they are."""
+    return df.mapInArrow(partial(_bounded, fn=fn), schema)

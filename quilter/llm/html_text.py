@@ -1,19 +1,26 @@
 """Main text of HTML pages by the distribution of text over lines.
 
-Markup is stripped into lines, one per block element in page order. Lines of
-menus, headers, footers, asides, forms, adverts, notices and comments, and lines
-outside the article or main element where the page has one with text, count as
-empty; so do lines that are mostly links outside an article. The lengths of the
-lines are summed over sliding windows of ``WINDOW`` lines. Where a window's sum
-surges over the threshold a text region begins; it ends where the sum dives to
-nothing. The regions' lines are the main text. Inside an article the threshold is
-one character, so short paragraphs stay and the elements alone decide; elsewhere a region
-must hold one window of at least ``SURGE`` characters or the page's largest window, or
-lie between two regions that do or be the last before or the first after those.
+Markup is stripped into lines, one per block element in page order. A line's weight is its
+characters outside of links; lines of menus, headers, footers, asides, forms, adverts,
+notices and comments weigh nothing and are never kept. Weights are summed over sliding windows of
+``WINDOW`` lines. Where the sums surge from nothing a region begins, and it ends where they
+dive to nothing; a region is strong if one of its windows reaches ``SURGE`` characters (or
+the page's largest window, if that is less).
+
+Article and main elements are read as the page's own cut: regions do not cross their edges, and
+the strong regions inside are weighed against those outside. Whichever side has
+more text between surges and dives holds the main text; a teaser in an article
+does not outweigh a long text beside it, and a long article outweighs what surrounds it.
+Of that side the lines from the first strong region to the last are kept, with the short regions between them and
+those next to them; inside articles all short regions of an article with a strong
+one are kept too. Lines that are mostly links stay within a region, as any paragraph, but not at its edges outside articles.
 
 One pass, linear in the page's length; nothing is dropped or capped otherwise.
 Defined results: null or empty html, or a page without main text, gives the empty
-text; unclosed and truncated tags, comments, scripts and references end with the page.
+text; unclosed and truncated tags, comments, scripts and references end with the page; an
+empty table gives an empty result; rows that repeat an id or a page are judged each by its
+own html; equal weights inside and outside go to the article; other columns are ignored, and
+the columns ``text`` and ``n_chars`` get an underscore where the id or URL column has that name.
 """
 
 from __future__ import annotations
@@ -25,8 +32,9 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quilter.llm.common import arrow_map
+from quilter.llm.common import arrow_map, free
 
 WINDOW, SURGE = 3, 60
 
@@ -38,13 +46,20 @@ DROPPED = frozenset("head title nav footer aside form menu button select option
 #: Elements whose content is not markup.
 RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark boilerplate.
-NOISE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?|adsense|banner|sponsor(?:ed|s)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|widget|related|recommend(?:ed|ations)?|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|footer|foot|masthead|site-header|page-header|toolbar|pagination|pager|"
-    r"complementary|contentinfo|search|hidden|skip-link|copyright|legal|disclaimer)(?:$|[\s_-])"
+#: Class names that mark boilerplate, alone or joined by hyphens to words of GENERAL.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommend recommended recommendations share sharing social comment comments commentlist replies reply respond disqus footer masthead toolbar pagination pager "
+    "hidden skip copyright disclaimer".split()
 )
-ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+GENERAL = frozenset("site page global top bottom left right main primary secondary side bar box list area container wrapper wrap block section content inner item items post posts article articles link links button buttons slot unit form icons icon media header head foot text bar google policy message thread".split())
+#: Roles of elements that are not main text.
+ROLES = frozenset("navigation complementary contentinfo banner search dialog alertdialog alert menu menubar toolbar form".split())
+#: Identifiers that mark boilerplate, on elements that only group others.
+IDS = frozenset("ad ads banner comments disqus_thread cookie-banner cookie-notice footer header menu nav navbar navigation newsletter sidebar site-footer site-header".split())
+GROUPS = frozenset("div section ul ol dl table center span".split())
+WHOLE = frozenset(("html", "body", "article", "main"))
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
 NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 SPACE = re.compile(r"\s+")
 ARTICLE = frozenset(("article", "main"))
@@ -76,35 +91,49 @@ def _tag_end(page: str, at: int) -> int:
 QUOTE_OR_END = re.compile(r""">|=\s*["']""")
 
 
+def _noise(token: str) -> bool:
+    """Whether a class name is a word for boilerplate, alone or with general words."""
+    if token in NOISE:
+        return True
+    parts = re.split(r"[-_]+", token)
+    return len(parts) > 1 and any(p in NOISE for p in parts) and all(p in NOISE or p in GENERAL or not p or p.isdigit() for p in parts)
+
+
 def _boilerplate(name: str, attributes: str) -> bool:
     if name in DROPPED:
         return True
     if not attributes.strip():
         return False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id", "role") and name not in ("body", "html", "article", "main") and NOISE.search(value):
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m.group(1).lower(), html.unescape(m.group(2) or m.group(3) or m.group(4) or "").strip().lower()
+        if key == "hidden" and name not in WHOLE and value != "until-found":
+            return True
+        if not value:
+            continue
+        if key == "class" and name not in WHOLE and any(map(_noise, value.split())):
             return True
-        if key == "aria-hidden" and value == "true" or key == "hidden" and name not in ("body", "html"):
+        if key == "id" and name in GROUPS and value in IDS:
             return True
-        if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if key == "role" and name not in WHOLE and not ROLES.isdisjoint(value.split()):
+            return True
+        if key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, int, bool]]:
-    """(text, in an article, characters inside links, boilerplate) of each block in page order."""
-    out: list[tuple[str, bool, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, number of its article or 0, characters inside links, boilerplate) of each block in page order."""
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    noise = articles = links = linked = 0
+    noise = articles = links = linked = seen = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             body = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if body:
-                out.append((body, articles > 0, min(linked, len(body)), noise > 0))
+                out.append((body, seen if articles else 0, min(linked, len(body)), noise > 0))
             text.clear()
         linked = 0
 
@@ -179,6 +208,7 @@ def lines(page: str) -> list[tuple[str, bool, int, bool]]:
                 flush()
             stack.append((name, bad, name in ARTICLE))
             noise += bad
+            seen += name in ARTICLE and not articles  # articles within one another are one
             articles += name in ARTICLE
         elif attributes and _boilerplate(name, attributes):
             flush()
@@ -188,54 +218,69 @@ def lines(page: str) -> list[tuple[str, bool, int, bool]]:
     return out
 
 
+def regions(weights: list[int], sides: list[int]) -> list[tuple[int, int, int, int]]:
+    """(first line, end line, weight, largest window) of each run of windows of one side between a surge and a dive."""
+    out = []
+    of: dict[int, list[tuple[int, int]]] = {}
+    for i, (w, side) in enumerate(zip(weights, sides, strict=True)):
+        own = of.setdefault(side, [])
+        if own and sides[i - 1] != side:
+            own += [(-1, 0)] * WINDOW  # the edge between sides is as wide as a window
+        own.append((i, w))
+    for own in of.values():
+        own += [(-1, 0)] * WINDOW
+        total, high, mass, first, end, quiet = 0, 0, 0, -1, 0, WINDOW
+        for k, (i, w) in enumerate(own):
+            total += w - (own[k - WINDOW][1] if k >= WINDOW else 0)
+            if w:
+                if first < 0:
+                    first, high, mass = i, 0, 0
+                end, mass, quiet = i + 1, mass + w, 0
+            else:
+                quiet += 1
+            high = max(high, total)
+            if first >= 0 and quiet >= WINDOW:
+                out.append((first, end, mass, high))
+                first = -1
+    return sorted(out)
+
+
 def main_text(page: str | None) -> str:
     """Lines between the surges and dives of the text's distribution, joined by newlines."""
     if not page:
         return ""
     found = lines(page)
-    inside = any(art and not bad for _, art, _, bad in found)
-    size = []
-    for body, art, linked, bad in found:
-        mostly_links = not art and linked * 2 > len(body)
-        size.append(0 if bad or inside and not art or mostly_links else len(body))
-    if not any(size):
+    sides = [art for _, art, _, _ in found]
+    # a line of links alone in an article is an item of a list more often than a menu
+    weights = [0 if bad else max(len(body) - linked, 1 if art else 0) if linked * 2 <= len(body) or art else 0 for body, art, linked, bad in found]
+    every = regions(weights, sides)
+    if not every:
         return ""
-    n = len(size)
-    sums, total = [], 0  # sums[i]: over the window that begins at line i
-    for i in range(n + WINDOW - 1):
-        total += size[i] if i < n else 0
-        total -= size[i - WINDOW] if i >= WINDOW else 0
-        if i >= WINDOW - 1:
-            sums.append(total)
-    surge = 1 if inside else min(SURGE, max(sums))
-    regions: list[tuple[int, int, bool]] = []  # from line to line, and whether a window reaches the threshold
-    i = 0
-    while i < n:
-        if not sums[i]:
-            i += 1
-            continue
-        end = i
-        while end < n and sums[end]:
-            end += 1
-        # [i, end) is a region from a rise over nothing to the dive back to it
-        regions.append((i, min(n, end + WINDOW - 1), max(sums[i:end]) >= surge))
-        i = end
-        while i < n and i < end + WINDOW - 1 and not sums[i]:
-            i += 1
-    high = [k for k, (_, _, surges) in enumerate(regions) if surges]
-    kept = regions[max(0, high[0] - 1) : high[-1] + 2]
-    return "\n".join(found[k][0] for begin, end, _ in kept for k in range(begin, end) if size[k])
+    surge = min(SURGE, max(high for *_, high in every))
+    strong = [high >= surge for *_, high in every]
+    inside = sum(mass for (first, _, mass, _), s in zip(every, strong, strict=True) if s and sides[first])
+    outside = sum(mass for (first, _, mass, _), s in zip(every, strong, strict=True) if s and not sides[first])
+    kept: list[tuple[int, int]] = []
+    if inside >= outside and inside:
+        surged = {sides[first] for (first, *_), s in zip(every, strong, strict=True) if s and sides[first]}
+        kept = [(first, end) for first, end, *_ in every if sides[first] in surged]
+    else:
+        own = [(first, end, s) for (first, end, *_), s in zip(every, strong, strict=True) if not sides[first]]
+        high = [k for k, (*_, s) in enumerate(own) if s]
+        kept = [(first, end) for first, end, _ in own[max(0, high[0] - 1) : high[-1] + 2]]
+    return "\n".join(found[k][0] for first, end in kept for k in range(first, end) if sides[k] == sides[first] and not found[k][3])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(v.as_py()) for v in batch.column(len(names) - 1)]
-        cols = {n: batch.column(i) for i, n in enumerate(names[:-1])}
-        yield pa.RecordBatch.from_pydict(cols | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
+        texts = [main_text(v.as_py()) for v in batch.column(2)]
+        cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def extract(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id_col, url_col, text and n_chars of every row."""
     kinds = dict(df.dtypes)
-    schema = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long"
-    return arrow_map(df.select(id_col, url_col, html_col), partial(_extract, names=[id_col, url_col, html_col]), schema)
+    names = [id_col, url_col, free("text", (id_col, url_col)), free("n_chars", (id_col, url_col))]
+    schema = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, `{names[2]}` string, `{names[3]}` long"
+    return arrow_map(df.select(F.col(id_col), F.col(url_col), F.col(html_col)), partial(_extract, names=names), schema)
