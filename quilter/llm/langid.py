@@ -7,19 +7,24 @@ transition weights join neighbours. Forward-backward over chains of ``CHAIN`` wo
 languages; a document's language is the one with the largest mean, weighted by
 word length, and that mean is the score.
 
-Training takes a bounded, documented sample: the ``DOCS_PER_LANG`` rows of each
-language with the smallest hash, ``SAMPLE_CHARS`` characters of each. As documents carry one
+Training takes a bounded, documented sample: the ``DOCS_PER_LANG`` different rows of each
+language with the smallest hash of id and text, ``SAMPLE_CHARS`` characters of each. Rows of each language
+are counted first; the counts give a bound on the hash under which little more than the sample lies, so that
+only those rows leave their tasks. As documents carry one
 label, chains for training are also spliced from several languages, so that the
 transitions learn how texts switch.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0; ties
-between languages go to the first by name; with no labelled row everything is ``und``.
+Defined results: null text, or text without a letter (numerals such as one half or a Roman numeral
+sign are none), is ``und`` with score 0; ties between languages go to the first by name; rows that
+repeat an id are judged each by its own text, and count once in training if id, text and language are equal; with no
+labelled row everything is ``und``; an empty table gives an empty result; other columns are ignored or kept as they are, and
+result columns get an underscore where the id column has their name.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+import sys
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,9 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quilter.llm.common import arrow_map
+from quilter.llm.common import arrow_map, free
 
 DOCS_PER_LANG, SAMPLE_CHARS = 150, 2500
 DIM_BITS, CHAIN, MEMO_WORDS = 15, 128, 300_000
@@ -39,7 +43,9 @@ UNDETERMINED = "und"
 #: Most words that are held as arrays at once.
 BLOCK_WORDS = 1 << 18
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that are word characters but neither digits nor letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -250,11 +256,11 @@ def _predict(texts: list[str | None], labeller: Labeller | None) -> tuple[list[s
     return langs, scores
 
 
-def _label_batches(batches: Iterator[pa.RecordBatch], crf: Crf | None, id_col: str) -> Iterator[pa.RecordBatch]:
+def _label_batches(batches: Iterator[pa.RecordBatch], crf: Crf | None, names: list[str]) -> Iterator[pa.RecordBatch]:
     labeller = Labeller(crf) if crf else None
     for batch in batches:
-        langs, scores = _predict(batch.column(1).to_pylist(), labeller)
-        yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+        langs, scores = _predict(batch.column(2).to_pylist(), labeller)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
 
 def _keep_batches(batches: Iterator[pa.RecordBatch], crf: Crf | None, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
@@ -265,15 +271,23 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], crf: Crf | None, text_col:
 
 
 def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column) -> list[tuple[str, str]]:
-    """Up to DOCS_PER_LANG texts of each language, those with the smallest hashed id; that many only reach the driver."""
-    rows = df.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"), F.length(text_col))
-    rows = rows.select(F.col(lang_col).alias("lang_"), key.alias("key_"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text_"))
-    first = Window.partitionBy("lang_", F.pmod("key_", F.lit(64))).orderBy("key_", "text_")
-    rows = rows.withColumn("rank_", F.row_number().over(first)).where(F.col("rank_") <= DOCS_PER_LANG)
-    again = Window.partitionBy("lang_").orderBy("key_", "text_")
-    rows = rows.withColumn("rank_", F.row_number().over(again)).where(F.col("rank_") <= DOCS_PER_LANG)
-    return [(r["text_"], r["lang_"]) for r in rows.orderBy("lang_", "rank_").collect()]
+    """Up to DOCS_PER_LANG different texts of each language, those with the smallest hash; little more than that reaches the driver."""
+    named = df.where(usable & F.col(lang_col).isNotNull())
+    counts = {r[0]: r[1] for r in named.groupBy(F.col(lang_col)).agg(F.count(F.lit(1))).collect()}
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = named.where(F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang_"), key.alias("key_"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text_"))
+    found: dict[str, list[tuple[int, str]]] = {}
+    share = {lang: (DOCS_PER_LANG + 8 * DOCS_PER_LANG**0.5) / n for lang, n in counts.items()}
+    while share:
+        bounds = {lang: min(2**63 - 1, int(2**64 * s) - 2**63) for lang, s in share.items()}
+        bound = F.create_map(*(F.lit(x) for pair in sorted(bounds.items()) for x in pair))[F.col("lang_")]
+        got: dict[str, list[tuple[int, str]]] = {lang: [] for lang in share}
+        for r in rows.where(F.col("key_") <= bound).distinct().collect():
+            got[r["lang_"]].append((r["key_"], r["text_"]))
+        found |= got
+        # few texts under the bound, because many are null or equal: the bound rises
+        share = {lang: 8 * s for lang, s in share.items() if len(got[lang]) < DOCS_PER_LANG and s < 1}
+    return [(text, lang) for lang in sorted(found) for _, text in sorted(found[lang])[:DOCS_PER_LANG]]
 
 
 def held_out(id_col: str) -> Column:
@@ -284,8 +298,9 @@ def held_out(id_col: str) -> Column:
 def label(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """id_col, held_out, lang_pred, score of every row."""
     crf = fit(training_sample(df, id_col, text_col, lang_col, ~held_out(id_col)))
-    out = arrow_map(df.select(id_col, text_col), partial(_label_batches, crf=crf, id_col=id_col), f"`{id_col}` {dict(df.dtypes)[id_col]}, lang_pred string, score double")
-    return out.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    names = [id_col, *(free(n, (id_col,)) for n in ("held_out", "lang_pred", "score"))]
+    rows = df.select(F.col(id_col), held_out(id_col).alias(names[1]), F.col(text_col).alias(free("text_", names)))
+    return arrow_map(rows, partial(_label_batches, crf=crf, names=names), f"`{id_col}` {dict(df.dtypes)[id_col]}, `{names[1]}` boolean, `{names[2]}` string, `{names[3]}` double")
 
 
 def keep_identified(df: DataFrame, id_col: str, text_col: str, lang_col: str, least: float = 0.5) -> DataFrame:
