@@ -13,10 +13,14 @@ import pyarrow as pa
 import quilter
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: texts may be very long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
+#: A key is hot that has more rows than HOT_ROWS and than one in HOT_KEYS of all; so no more than HOT_KEYS are.
+HOT_ROWS, HOT_KEYS = 1000, 4096
+
 # Workers need not have this package on their path.
 cloudpickle.register_pickle_by_value(quilter)
 
@@ -87,3 +91,15 @@ def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.Rec
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` over batches bounded in rows and bytes; the session's own bounds stay as they are."""
     return df.mapInArrow(partial(_bounded, fn=fn), schema)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+    """Rows joined with their key's facts (one row a key; ``weight`` of them are its rows, of ``total``), wherever a hot key's rows stand.
+
+    Facts of hot keys, HOT_KEYS rows at most, are broadcast; the others' rows are shuffled by key. Both inputs are read twice.
+    """
+    hot = F.col(weight) > max(HOT_ROWS, total // HOT_KEYS)
+    few = facts.where(hot)
+    first = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~hot), key, how)
+    return first.unionByName(rest)

@@ -8,21 +8,24 @@ at the same place, whatever stands around them, so windows need comparing only w
 their anchors' q-grams are equal: nothing is sampled and nothing is missed.
 
 1. One pass emits (q-gram, document, position) of each anchor, about one in 185 bytes,
-   packed by key range. Anchors whose q-gram is anchor nowhere else are dropped.
-2. The documents that still have anchors are read again. Each batch sorts the suffixes at
+   packed by key range. Where a q-gram recurs inside a batch all its anchors there are known to be shared;
+   one of them travels, so a frequent q-gram sends one record a batch. Other anchors whose q-gram is anchor nowhere else are dropped.
+2. The documents that still have anchors are read again, copies merged on the way. Each task sorts the suffixes at
    its anchors and sends them as front-coded runs (what a suffix shares with the one
-   before is not repeated) to the parts that own their q-grams.
+   before is not repeated; equal contexts are sent once) to the parts that own their q-grams.
 3. A part merges its runs with a loser tree that compares beyond known prefixes only, and so
-   has the sorted suffixes and what neighbours share. A window that starts d bytes before
+   has the sorted suffixes and what neighbours share. Equal contexts are settled at sight. A window that starts d bytes before
    its anchor occurs twice if another suffix of the q-gram shares LENGTH - d bytes to
    the right and d bytes to the left.
 4. Windows found twice are united by document and cut out.
 
-Documents of equal text are one document with copies; if there are copies and LENGTH
-bytes, the whole text goes.
+Documents of equal text are one document with copies, known by 128 bits of their SHA-256; if there are copies and LENGTH
+bytes, the whole text goes. Texts of any length are read in pieces of ``CHUNK_BYTES`` that overlap by a window.
 
 Defined results: null text is empty (nothing removed); texts under LENGTH bytes stay; rows
-that repeat an id are judged by their own texts.
+that repeat an id are judged by their own texts, and equal texts under one id are copies of each other; there are no ties, as all of
+a repeated string's places lose it; an empty table gives an empty result; other columns are ignored, and result columns get an
+underscore where the id column has their name.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quilter.llm.bytes_np import BYTE_KEYS, INVERSE, mix, powers, text_bytes
-from quilter.llm.common import Staged, arrow_map
+from quilter.llm.common import Staged, arrow_map, free, spread_join
 from quilter.llm.loser_tree import common_prefix, front_code, merge
 from quilter.llm.ngram_join import _by_run, _chunks
 
@@ -49,8 +52,11 @@ PLACE_BITS = 28
 #: Groups of more suffixes than this are settled depth by depth, not pair by pair.
 PAIRWISE = 48
 BROADCAST_IDS = 500_000
-#: doc: digest of the text; at: anchor; lo, hi: windows start from at - hi to at - lo
-ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("lo", "<u2"), ("hi", "<u2")])
+#: A task's suffixes are sent when they hold so many bytes.
+RUN_BYTES = 24 << 20
+#: a, b: the document's digest; at: anchor; lo, hi: windows start from at - hi to at - lo
+ANCHOR = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u8"), ("at", "<u4"), ("lo", "<u2"), ("hi", "<u2")])
+DIGEST = 16
 
 
 class Anchors:
@@ -61,12 +67,23 @@ class Anchors:
         self.up, self.down = powers(CHUNK_BYTES), powers(CHUNK_BYTES, INVERSE)
 
     def find(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, position in the row, key, lo, hi) of each anchor, in order."""
+        """(row, position in the row, key, lo, hi) of each anchor, in order. Long rows are taken in pieces."""
+        if len(offsets) == 2 and len(raw) > CHUNK_BYTES + self.length:
+            pieces = []
+            for at in range(0, len(raw) - self.length + 1, CHUNK_BYTES):
+                piece = raw[at : at + CHUNK_BYTES + self.length - 1]
+                _, place, key, lo, hi = self._find(piece, np.array([0, len(piece)]))
+                pieces.append((place + at, key, lo, hi))
+            place, key, lo, hi = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            # an anchor's windows may begin in two pieces
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            return np.zeros(len(first), np.int64), place[first], key[first], np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+        return self._find(raw, offsets)
+
+    def _find(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size, none = len(raw), np.zeros(0, np.int64)
         if size < self.length:
             return none, none, none.astype(np.uint64), none, none
-        if size >= 1 << PLACE_BITS:
-            raise ValueError(f"a text of {size} bytes is over {1 << PLACE_BITS}")
         if size >= len(self.up):
             self.up, self.down = powers(size), powers(size, INVERSE)
         running = np.zeros(size + 1, np.uint64)
@@ -107,22 +124,49 @@ def _part(key: np.ndarray, parts_log: int) -> np.ndarray:
     return (mix(key) >> np.uint64(64 - parts_log)).astype(np.int64)
 
 
+def _unique(rec: np.ndarray) -> np.ndarray:
+    """Records in order of key and document, each place once."""
+    rec = rec[np.lexsort((rec["at"], rec["b"], rec["a"], rec["key"]))]
+    same = np.ones(max(0, len(rec) - 1), bool)
+    for name in ("key", "a", "b", "at"):
+        same &= rec[name][1:] == rec[name][:-1]
+    return rec[np.concatenate([[True], ~same])] if len(rec) else rec
+
+
+def _by_doc(rec: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(digest, records) of each document among the records."""
+    rec = rec[np.lexsort((rec["b"], rec["a"]))]
+    cut = np.flatnonzero(np.concatenate([[True], (rec["a"][1:] != rec["a"][:-1]) | (rec["b"][1:] != rec["b"][:-1])]))
+    names = np.stack([rec["a"][cut], rec["b"][cut]], axis=1).tobytes()
+    return _binary(names, np.arange(len(cut) + 1) * DIGEST), _binary(rec.tobytes(), np.append(cut, len(rec)) * ANCHOR.itemsize)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, parts_log: int) -> Iterator[pa.RecordBatch]:
-    finder = Anchors(length)
+    """(part, records) of anchors to be compared with those of other batches; (doc, records) of anchors shared inside a batch."""
+    finder, names = Anchors(length), ["part", "doc", "data"]
     for batch in batches:
-        docs, out = batch.column(0).to_numpy(), []
+        docs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(-1, 2)
+        out = []
         for a, _, raw, offsets in _texts(batch, 1):
             row, at, key, lo, hi = finder.find(raw, offsets)
             rec = np.empty(len(row), ANCHOR)
-            rec["key"], rec["doc"], rec["at"], rec["lo"], rec["hi"] = key, docs[a + row], at, lo, hi
+            rec["key"], rec["a"], rec["b"], rec["at"], rec["lo"], rec["hi"] = key, docs[a + row, 0], docs[a + row, 1], at, lo, hi
             out.append(rec)
-        if out and len(rec := np.unique(np.concatenate(out))):
-            part = _part(rec["key"], parts_log)
-            order = np.argsort(part, kind="stable")
-            part, rec = part[order], rec[order]
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = np.append(cut, len(rec)) * ANCHOR.itemsize
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), _binary(rec.tobytes(), ends)], ["part", "data"])
+        if not out or not len(rec := _unique(np.concatenate(out))):
+            continue
+        first = np.concatenate([[True], rec["key"][1:] != rec["key"][:-1]])
+        group = np.cumsum(first) - 1
+        shared = np.bincount(group)[group] > 1
+        if shared.any():
+            doc, data = _by_doc(rec[shared])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int32()), doc, data], names)
+        rec = rec[first]
+        part = _part(rec["key"], parts_log)
+        order = np.argsort(part, kind="stable")
+        part, rec = part[order], rec[order]
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        data = _binary(rec.tobytes(), np.append(cut, len(rec)) * ANCHOR.itemsize)
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.nulls(len(cut), pa.binary()), data], names)
 
 
 def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
@@ -132,52 +176,64 @@ def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each part, the anchors whose key occurs at two places, by document."""
     for _, held in _by_run(batches, 0):
-        rec = np.unique(np.frombuffer(b"".join(x for h in held for x in h.column(1).to_pylist()), ANCHOR))
+        rec = _unique(np.frombuffer(b"".join(x for h in held for x in h.column(1).to_pylist()), ANCHOR))
         if not len(rec):
             continue
-        first = np.concatenate([[True], rec["key"][1:] != rec["key"][:-1]])
-        group = np.cumsum(first) - 1
+        group = np.cumsum(np.concatenate([[True], rec["key"][1:] != rec["key"][:-1]])) - 1
         rec = rec[np.bincount(group)[group] > 1]
         if len(rec):
-            rec = rec[np.argsort(rec["doc"], kind="stable")]
-            cut = np.flatnonzero(np.concatenate([[True], rec["doc"][1:] != rec["doc"][:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(rec["doc"][cut]), _binary(rec.tobytes(), np.append(cut, len(rec)) * ANCHOR.itemsize)], ["doc", "anchors"])
+            yield pa.RecordBatch.from_arrays(list(_by_doc(rec)), ["doc", "anchors"])
 
 
-ENTRY = "<HHHqIH"  # shared prefix, length of the rest, of the left side, doc, at, lo
+ENTRY = "<HHH16sIHB"  # shared prefix, length of the rest, of the left side, doc, at, lo, whether the context is that of the entry before
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, parts_log: int) -> Iterator[pa.RecordBatch]:
-    """For each batch and part, a front-coded run of its anchored suffixes (q-gram key first), with what stands to their left."""
+    """For each part, front-coded runs of the anchored suffixes (q-gram key first), with what stands to their left."""
+    by_part: dict[int, list[tuple[bytes, bytes, int, bytes, int]]] = {}
+    held = 0
+
+    def send() -> pa.RecordBatch:
+        parts, runs = [], []
+        for p, entries in by_part.items():
+            entries = sorted(set(entries))  # a place may be known from a batch and from its part
+            out, last = [], None
+            for (n, rest), e in zip(front_code([e[0] for e in entries]), entries, strict=True):
+                suffix, left, lo, doc, at = e
+                again = last == (suffix, left)
+                last = suffix, left
+                out.append(struct.pack(ENTRY, n, len(rest), 0 if again else len(left), doc, at, lo, again))
+                out += [rest] if again else [rest, left]
+            parts.append(p)
+            runs.append(b"".join(out))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
+
     for batch in batches:
-        by_part: dict[int, list[tuple[bytes, bytes, int, int, int]]] = {}
-        for text, lists in zip(batch.column(1), batch.column(2), strict=True):
-            raw = text.as_py().encode()
+        for doc, text, lists in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            raw, doc = text.as_py().encode(), doc.as_py()
             for data in lists.as_py():
                 rec = np.frombuffer(data, ANCHOR)
                 part = _part(rec["key"], parts_log).tolist()
-                for p, (key, doc, at, lo, hi) in zip(part, rec.tolist(), strict=True):
+                for p, (key, _, _, at, lo, hi) in zip(part, rec.tolist(), strict=True):
                     suffix = key.to_bytes(8, "big") + raw[at : at + length - lo]
-                    by_part.setdefault(p, []).append((suffix, raw[at - hi : at], doc, at, lo))
-        parts, runs = [], []
-        for p, entries in by_part.items():
-            entries.sort()
-            out = []
-            for (n, rest), (_, left, doc, at, lo) in zip(front_code([e[0] for e in entries]), entries, strict=True):
-                out += [struct.pack(ENTRY, n, len(rest), len(left), doc, at, lo), rest, left]
-            parts.append(p)
-            runs.append(b"".join(out))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(runs, pa.binary())], ["part", "run"])
+                    by_part.setdefault(p, []).append((suffix, raw[at - hi : at], lo, doc, at))
+                    held += len(suffix) + hi + 300
+                if held > RUN_BYTES:
+                    yield send()
+                    by_part, held = {}, 0
+    if by_part:
+        yield send()
 
 
 def _read_run(data: bytes) -> Iterator[tuple[int, bytes, object]]:
-    at, size = 0, struct.calcsize(ENTRY)
+    at, size, before = 0, struct.calcsize(ENTRY), b""
     while at < len(data):
-        n, rest, left, doc, place, lo = struct.unpack_from(ENTRY, data, at)
+        n, rest, left, doc, place, lo, again = struct.unpack_from(ENTRY, data, at)
         at += size
-        yield n, data[at : at + rest], (data[at + rest : at + rest + left], doc, place, lo)
+        side = before if again else data[at + rest : at + rest + left]
+        yield n, data[at : at + rest], (side, doc, place, lo)
         at += rest + left
+        before = side
 
 
 def _pair(shared: int, left: int, lo: int, hi: int, length: int) -> tuple[int, int]:
@@ -235,7 +291,7 @@ def settle(group: list[tuple[int, bytes, bytes, int]], length: int) -> list[tupl
 def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(doc, from, to) of bytes to remove, from the merged runs of each part."""
 
-    def spans(group: list[tuple[int, bytes, bytes, int, int, int]]) -> list[tuple[int, int, int]]:
+    def spans(group: list[tuple[int, bytes, bytes, bytes, int, int]]) -> list[tuple[bytes, int, int]]:
         if len(group) < 2:
             return []
         got = settle([(n, s, left, lo) for n, s, left, _, _, lo in group], length)
@@ -243,17 +299,32 @@ def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
     for _, held in _by_run(batches, 0):
         runs = [_read_run(x) for h in held for x in h.column(1).to_pylist()]
-        out: list[tuple[int, int, int]] = []
-        group: list[tuple[int, bytes, bytes, int, int, int]] = []
-        seen: set[tuple[int, int]] = set()
+        out: list[tuple[bytes, int, int]] = []
+        group: list[tuple[int, bytes, bytes, bytes, int, int]] = []
+        lefts: dict[bytes, tuple[bytes, int]] = {}  # left sides of the suffixes equal to the last one
+        seen: set[tuple[bytes, int]] = set()
+        least = 0  # what the group's next member shares with its last
         for shared, suffix, (left, doc, at, lo) in merge(runs):
             if shared < 8:
                 out += spans(group)
-                group, seen = [], set()
+                group, seen, least = [], set(), 0
+                lefts = {}
+            elif shared < len(suffix) or not group or len(group[-1][1]) != len(suffix):
+                lefts = {}
+            least = shared if not group or least < 0 else min(least, shared)
             if (doc, at) in seen:
                 continue  # the same document came from several rows
             seen.add((doc, at))
-            group.append((max(0, shared - 8), suffix, left, doc, at, lo))
+            if left in lefts:  # the same context: each window of it occurs twice
+                if lefts[left] is not None:
+                    first, place = lefts[left]
+                    out.append((first, place - len(left), place - lo + length))
+                    lefts[left] = None
+                out.append((doc, at - len(left), at - lo + length))
+            else:
+                lefts[left] = doc, at
+                group.append((max(0, least - 8), suffix, left, doc, at, lo))
+                least = -1
             if len(out) > 100_000:
                 yield _spans_batch(out)
                 out = []
@@ -264,7 +335,7 @@ def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 def _spans_batch(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     doc, a, b = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc", "lo", "hi"])
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -299,41 +370,52 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 
 
 def dedup(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept_sha256 of every row, and on request the kept bytes."""
+    """id_col, n_bytes, n_removed, n_spans, kept_sha256 of every row, and on request the kept bytes (null where the text stays whole)."""
     spark = df.sparkSession
     staged = Staged(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(text.alias("text_")).withColumn("doc", F.xxhash64("text_"))
-    rows = df.select(F.col(id_col).alias("id_"), F.xxhash64(text).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha_"))
-    rows = staged.put(rows, "rows")
+    sha = F.sha2(text.cast("binary"), 256)
+    digest = F.substring(F.unhex(F.col("sha_")), 1, DIGEST)
+    docs = df.select(text.alias("text_"), sha.alias("sha_")).select("text_", digest.alias("doc"))
+    rows = df.select(F.col(id_col).alias("id_"), sha.alias("sha_"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = staged.put(rows.withColumn("doc", digest), "rows")
+    total = rows.count()
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts_log = max(6, (4 * shuffles - 1).bit_length())
     long_ = docs.where(F.octet_length("text_") >= length)
 
-    every = arrow_map(long_.select("doc", "text_"), partial(_anchors, length=length, parts_log=parts_log), "part int, data binary")
-    every = every.repartition(shuffles, "part").sortWithinPartitions("part")
-    live = staged.put(arrow_map(every, _shared, "doc long, anchors binary"), "live")
-    ids = live.select("doc").distinct()
+    every = arrow_map(long_.select("doc", "text_"), partial(_anchors, length=length, parts_log=parts_log), "part int, doc binary, data binary")
+    every = staged.put(every, "anchors")
+    travel = every.where("part is not null").select("part", "data").repartition(shuffles, "part").sortWithinPartitions("part")
+    live = arrow_map(travel, _shared, "doc binary, anchors binary").union(every.where("part is null").select("doc", F.col("data").alias("anchors")))
+    live = staged.put(live, "live")
+    staged.drop("anchors")
+    # texts without anchors need not travel; that some share 64 bits with one that has is no harm
+    ids = live.select(F.xxhash64("doc").alias("pre_")).distinct()
     if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    lists = live.groupBy("doc").agg(F.collect_list("anchors").alias("anchors"))  # as long as the document at most
-    suspects = staged.put(long_.join(ids, "doc", "left_semi"), "suspects")
-
-    runs = arrow_map(suspects.join(lists, "doc").select("doc", "text_", "anchors"), partial(_runs, length=length, parts_log=parts_log), "part int, run binary")
+        long_ = long_.join(F.broadcast(ids), F.xxhash64("doc") == F.col("pre_"), "left_semi")
+    texts = long_.select("doc", "text_", F.lit(None).cast("binary").alias("anchors"))
+    both = texts.union(live.select("doc", F.lit(None).cast("string"), "anchors"))
+    # one shuffle brings texts and anchors together and makes one text of all copies; anchors are as long as the text at most
+    suspects = both.groupBy("doc").agg(F.first("text_", ignorenulls=True).alias("text_"), F.collect_list("anchors").alias("anchors")).where(F.size("anchors") > 0)
+    suspects = staged.put(suspects, "suspects")
+
+    runs = arrow_map(suspects.select("doc", "text_", "anchors"), partial(_runs, length=length, parts_log=parts_log), "part int, run binary")
     runs = runs.repartition(shuffles, "part").sortWithinPartitions("part")
-    spans = staged.put(arrow_map(runs, partial(_found, length=length), "doc long, lo int, hi int"), "spans")
+    spans = staged.put(arrow_map(runs, partial(_found, length=length), "doc binary, lo int, hi int"), "spans")
     spans = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    cut = arrow_map(suspects.join(spans, "doc").select("doc", "text_", "spans"), partial(_cut, with_text=with_text), "doc long, removed long, spans long, sha string" + ", kept binary" * with_text)
-    cut = cut.dropDuplicates(["doc"])
+    cut = arrow_map(suspects.join(spans, "doc").select("doc", "text_", "spans"), partial(_cut, with_text=with_text), "doc binary, removed long, spans long, sha string" + ", kept binary" * with_text)
 
-    copies = rows.groupBy("sha_").agg(F.count("*").alias("copies_")).where("copies_ > 1")
-    out = rows.join(copies, "sha_", "left").join(cut, "doc", "left")
-    gone = F.col("copies_").isNotNull() & (F.col("n_bytes") >= length)
+    copies = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("copies_"))
+    facts = staged.put(copies.join(cut, "doc", "left").where("copies_ > 1 or sha is not null"), "facts")
+    out = spread_join(rows, facts, "doc", "copies_", total)
+    gone = (F.col("copies_") > 1) & (F.col("n_bytes") >= length)
+    taken = (id_col,)
     cols = [
         F.col("id_").alias(id_col),
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("sha", "sha_")).alias("kept_sha256"),
+        F.col("n_bytes").alias(free("n_bytes", taken)),
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias(free("n_removed", taken)),
+        F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias(free("n_spans", taken)),
+        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("sha", "sha_")).alias(free("kept_sha256", taken)),
     ]
-    return out.select(*cols, *(["kept"] if with_text else []))
+    return out.select(*cols, *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias(free("kept", taken))] if with_text else []))
