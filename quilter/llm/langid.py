@@ -43,9 +43,16 @@ UNDETERMINED = "und"
 #: Most words that are held as arrays at once.
 BLOCK_WORDS = 1 << 18
 
-#: Numerals that are word characters but neither digits nor letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+NOT_LETTER = re.compile("|".join(map(re.escape, (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))))
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters. Numerals that are word characters but neither digits nor letters part words."""
+    words = WORD.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return [p for w in words for p in (NOT_LETTER.split(w) if not w.isalpha() else (w,)) if p]
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -138,7 +145,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 5) -> Crf | None:
     chains: list[tuple[list[str], list[int]]] = []
     by: dict[int, list[list[str]]] = {}
     for text, lang in samples:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         for i in range(0, len(words), 64):
             by.setdefault(code[lang], []).append(words[i : i + 64])
     for k, pieces in by.items():
@@ -245,7 +252,7 @@ class Labeller:
 
 
 def _predict(texts: list[str | None], labeller: Labeller | None) -> tuple[list[str], list[float]]:
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    words = [words_of(t) if t else [] for t in texts]
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if labeller is not None:
         sums, weights = labeller.documents(words)
