@@ -38,3 +38,27 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def binary_column(raw: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of a binary column from all bytes and n + 1 offsets."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def joined_bytes(column: pa.Array) -> bytes:
+    """All values of a binary column, one after another."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return b"" if not len(column) else bytes(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]])
+
+
+#: A digest of 128 bits. Numpy leaves out trailing zero bytes of single values, never of arrays.
+DIGEST = np.dtype("S16")
+
+
+def digest_column(names: np.ndarray) -> pa.Array:
+    return binary_column(np.ascontiguousarray(names).tobytes(), np.arange(len(names) + 1) * DIGEST.itemsize)
+
+
+def digest_array(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(joined_bytes(column), DIGEST)
+
+
+def halves(names: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each digest."""
+    return np.ascontiguousarray(names).view("<u8").reshape(-1, 2)

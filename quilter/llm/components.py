@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilter.llm.common import Staged
+from quilter.llm.common import Staged, spread_join
 
 #: More than enough for any graph that fits a cluster: the number of rounds is logarithmic.
 MAX_ROUNDS = 60
@@ -14,28 +14,29 @@ MAX_ROUNDS = 60
 def components(edges: DataFrame, staged: Staged, name: str = "cc") -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Each round joins every node to its neighbourhood's minimum, by partial aggregates
-    and joins alone, and is written to the shared folder, so lineage stays short. It ends
-    when each node points straight at its root.
+    Each round points every node at its neighbourhood's minimum. Minima and degrees are partial
+    aggregates; edges get them by joins that leave a hub's edges where they stand. All of a
+    round is written to the shared folder, so lineage stays short. It ends when each node points straight at its root.
     """
-    cur = staged.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    cur = staged.put(pairs, f"{name}_0")  # u > v in every row
     for i in range(1, MAX_ROUNDS + 1):
-        if i == 1 and cur.isEmpty():
+        total = cur.count()
+        low = cur.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        degrees = cur.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+        lowest = staged.put(degrees.join(low, degrees["v"] == low["u"], "left").select("v", F.coalesce("m", "v").alias("m"), "w"), f"{name}_low_{i}")
+        if not total or lowest.where("m <> v").isEmpty() and low.where("n > 1").isEmpty():
             break
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = staged.put(small, f"{name}_{i}")
-        # stars only: no node is both a leaf and a root, and each leaf has one root
-        roots = new.select(F.col("v").alias("u")).distinct()
-        open_ = new.join(roots, "u", "left_semi").limit(1).count() or new.groupBy("u").count().where("count > 1").limit(1).count()
-        staged.drop(f"{name}_{i - 1}")
+        # large star: each larger neighbour of a node goes to the node's least neighbour
+        large = spread_join(cur, lowest, "v", "w", total, "inner").select("u", F.col("m").alias("v")).distinct()
+        large = staged.put(large, f"{name}_large_{i}")
+        # small star: a node and its smaller neighbours go to the least of these
+        down = staged.put(large.groupBy("u").agg(F.min("v").alias("d"), F.count(F.lit(1)).alias("n")), f"{name}_down_{i}")
+        moved = spread_join(large, down.where("n > 1"), "u", "n", total, "inner").where("v <> d").select(F.col("v").alias("u"), F.col("d").alias("v"))
+        new = staged.put(down.select("u", F.col("d").alias("v")).union(moved).distinct(), f"{name}_{i}")
+        for old in (f"{name}_{i - 1}", f"{name}_low_{i}", f"{name}_large_{i}", f"{name}_down_{i}"):
+            staged.drop(old)
         cur = new
-        if not open_:
-            break
     else:
         raise RuntimeError("components did not settle")
-    leaves = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return leaves.union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(lowest.select(F.col("v").alias("node"), F.col("v").alias("root")))
