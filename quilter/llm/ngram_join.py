@@ -9,7 +9,7 @@ threshold link; a group is a connected component.
 2. A second pass emits each set's prefix: the first ``n - ceil(t n) + 1`` shingles in the order
    (not hot, hash). Two sets at or over the threshold share one of them, whatever the
    order; putting hot shingles last only keeps shared passages out of the index.
-   Records are packed by key range, so a shuffle moves 28 bytes a record.
+   Records are packed by key range, so a shuffle moves 20 bytes a record; half a digest and the size name a node there.
 3. Nodes with a key in common are united into tiles of bounded size, and a tile is cut
    wherever sizes differ by more than the threshold allows. Tiles that overlap become one
    as long as that is within the bound. The members of a key that is too frequent for that become pieces,
@@ -42,7 +42,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quilter.llm.bytes_np import BASE, BYTE_KEYS, INVERSE, binary_column, digest_array, digest_column, halves, joined_bytes, mix, powers, text_bytes
 from quilter.llm.common import Staged, arrow_map, free, spread_join
@@ -71,7 +70,7 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 SHINGLE_KEYS = mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
-RECORD = np.dtype([("key", "<u8"), ("node", "S16"), ("n", "<u4")])
+RECORD = np.dtype([("key", "<u8"), ("short", "<u8"), ("n", "<u4")])
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -148,6 +147,11 @@ def digests(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view("S16").ravel()
 
 
+def shorts(names: np.ndarray) -> np.ndarray:
+    """The first half of each digest."""
+    return np.ascontiguousarray(halves(names)[:, 0])
+
+
 def widths(n: np.ndarray) -> np.ndarray:
     """Bits of a set's bitmap: a power of two not under twice its size."""
     return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
@@ -168,14 +172,14 @@ def _measure(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.Reco
     """Rows (id, n, node) of documents and rows (key, times) of shingles seen again and again in this task."""
     shingler, kept, held = Shingler(), [], 0
     seen: set[int] = set()  # sets counted since the last rows of shingles
-    id_type, names = None, [id_col, "n", "node", "bits", "key", "times"]
+    id_type, names = None, [id_col, "n", "node", "short", "bits", "key", "times"]
 
     def recurring() -> pa.RecordBatch:
         key, times = np.unique(np.concatenate(kept), return_counts=True)
         key, times = key[times >= HOT_LOCAL], times[times >= HOT_LOCAL]
         none = pa.nulls(len(key), pa.int64())
         blank = pa.nulls(len(key), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(key), id_type), none, blank, blank, pa.array(key.view(np.int64)), pa.array(times)], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), id_type), none, blank, none, blank, pa.array(key.view(np.int64)), pa.array(times)], names)
 
     for batch in batches:
         id_type = batch.column(0).type
@@ -197,7 +201,7 @@ def _measure(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.Reco
                 seen.clear()
         if n:
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), digest_column(np.concatenate(node)), pa.concat_arrays(bits), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), digest_column(names_ := np.concatenate(node)), pa.array(shorts(names_).view(np.int64)), pa.concat_arrays(bits), none, none], names)
     if held:
         yield recurring()
 
@@ -227,7 +231,7 @@ def _index(batches: Iterator[pa.RecordBatch], hot, parts_log: int) -> Iterator[p
             pick = prefixes(hashes, offsets, late)
             owner = np.repeat(np.arange(len(n)), n)[pick]
             rec = np.empty(len(owner), RECORD)
-            rec["key"], rec["node"], rec["n"] = hashes[pick], digests(hashes, offsets)[owner], n[owner]
+            rec["key"], rec["short"], rec["n"] = hashes[pick], shorts(digests(hashes, offsets))[owner], n[owner]
             out.append(rec)
         if out and len(rec := np.concatenate(out)):
             part = (mix(rec["key"]) >> np.uint64(64 - parts_log)).astype(np.int64)
@@ -263,25 +267,21 @@ def tiles_of(rec: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int | No
 
     With a key, the tile is one piece of a frequent key, whose pieces are yet to be paired with one another.
     """
-    ab = halves(rec["node"])
-    rec = rec[np.lexsort((ab[:, 1], ab[:, 0], rec["key"]))]
-    fresh = np.ones(len(rec), bool)
-    fresh[1:] = (rec["key"][1:] != rec["key"][:-1]) | (rec["node"][1:] != rec["node"][:-1])
-    rec = rec[fresh]
+    rec = rec[np.lexsort((rec["n"], rec["short"], rec["key"]))]
+    rec = rec[np.concatenate([[True], rec[1:] != rec[:-1]])] if len(rec) else rec
     key = rec["key"]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.concatenate([[True], key[1:] != key[:-1]])[: len(rec)]
     group = np.cumsum(first) - 1
     size = np.bincount(group)
     rec, group = rec[size[group] > 1], group[size[group] > 1]
     if not len(rec):
         return
-    ab = halves(rec["node"])
-    order = np.lexsort((ab[:, 1], ab[:, 0]))
+    order = np.lexsort((rec["n"], rec["short"]))
     fresh = np.ones(len(rec), bool)
-    fresh[1:] = rec["node"][order][1:] != rec["node"][order][:-1]
+    fresh[1:] = (rec["short"][order][1:] != rec["short"][order][:-1]) | (rec["n"][order][1:] != rec["n"][order][:-1])
     at = np.empty(len(rec), np.int64)
     at[order] = np.cumsum(fresh) - 1
-    nodes = rec["node"][order[fresh]]
+    nodes = rec["short"][order[fresh]]
     n = np.zeros(len(nodes), np.int64)
     n[at] = rec["n"]
     union = Union(len(nodes))
@@ -345,16 +345,12 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [t for t in tiles_of(np.frombuffer(data, RECORD)) if len(t[0]) > 1 or t[2] is not None]
         for i in range(0, len(found), 1000):
             part = found[i : i + 1000]
-            names = np.empty((len(part), 2), "<u8")
-            for j, (nodes, _, _) in enumerate(part):  # the same nodes under several keys are one tile
-                ab = halves(nodes)
-                total = mix(mix(ab[:, 0]) ^ ab[:, 1]).sum()
-                names[j] = mix(np.array([total, total ^ mix(ab[:, 1] ^ SALT).sum()], np.uint64))
-            flat = digest_column(np.concatenate([t for t, _, _ in part]))
+            names = np.array([[mix(nodes).sum(), mix(nodes ^ SALT).sum()] for nodes, _, _ in part], "<u8")  # the same nodes under several keys are one tile
+            flat = pa.array(np.concatenate([t for t, _, _ in part]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(t) for t, _, _ in part)]), pa.int32()), flat)
             keys = [None if k is None else k - (1 << 64) if k >= 1 << 63 else k for _, _, k in part]
             low, high = ([int(f(n)) for _, n, _ in part] for f in (np.min, np.max))
-            cols = [digest_column(names.view("S16").ravel()), lists, pa.array(keys, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+            cols = [digest_column(mix(names.ravel()).view("S16")), lists, pa.array(keys, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["tile", "nodes", "key", "low", "high"])
 
 
@@ -484,7 +480,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged(tiles: DataFrame, classes: DataFrame, staged: Staged, name: str) -> DataFrame:
     """Tiles that overlap become one, where that one is within a tile's size; so most sets travel once."""
-    around = staged.put(components(tiles.select(F.col("node").alias("a"), F.col("first").alias("b")), staged, f"{name}_cc"), f"{name}_around")
+    # tiles are nodes of this graph too; what they are called by is no set's digest, and drops out
+    around = staged.put(components(tiles.select(F.col("node").alias("a"), F.col("tile").alias("b")), staged, f"{name}_cc"), f"{name}_around")
     weight = around.join(classes.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members"))
     weight = staged.put(weight, f"{name}_weight")
     around = spread_join(around, weight, "root", "members", around.count(), "inner").select("node", "root", (F.col("weight") <= MERGED_SHINGLES).alias("fits"))
@@ -494,14 +491,19 @@ def merged(tiles: DataFrame, classes: DataFrame, staged: Staged, name: str) -> D
     return staged.put(one.union(apart), f"{name}_merged")
 
 
-def links(tiles: DataFrame, docs: DataFrame, classes: DataFrame, staged: Staged, name: str) -> DataFrame:
-    """Links (a, b) that connect the nodes of each tile (tile, node, first) as far as their sets are alike."""
+def links(tiles: DataFrame, docs: DataFrame, measured: DataFrame, classes: DataFrame, staged: Staged, name: str) -> DataFrame:
+    """Links (a, b) that connect the nodes of each tile (tile, node) as far as their sets are alike."""
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = merged(tiles, classes, staged, f"{name}_tiles")
-    signed = tiles.join(classes.select("node", "n", "bits"), "node").select("tile", "node", "n", "bits")
+    asked = tiles.select(F.xxhash64("node").alias("pre_")).distinct()
+    signed = measured.where("n > 0").select("node", "n", "bits")
+    if asked.count() <= BROADCAST_IDS:
+        signed = signed.join(F.broadcast(asked), F.xxhash64("node") == F.col("pre_"), "left_semi")
+    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    signed = tiles.join(signed, "node").select("tile", "node", "n", "bits")
     signed = signed.repartition(shuffles, "tile").sortWithinPartitions("tile")
     tiles = staged.put(arrow_map(signed, _screen, "tile binary, node binary").distinct(), f"{name}_screened")
-    tiles = merged(tiles.withColumn("first", F.col("tile")), classes, staged, f"{name}_near")
+    tiles = merged(tiles, classes, staged, f"{name}_near")
     # one row stands for a node's copies; other rows of its id may give other sets, or a set twice, and a tile takes what it names once
     chosen = staged.put(classes.join(tiles.select("node").distinct(), "node", "left_semi").select(F.struct("low_").alias("chosen_")).distinct(), f"{name}_chosen")
     if chosen.count() <= BROADCAST_IDS:
@@ -513,8 +515,8 @@ def links(tiles: DataFrame, docs: DataFrame, classes: DataFrame, staged: Staged,
 
 
 def unpaired(pieces: DataFrame, tiles: DataFrame, roots: DataFrame, staged: Staged) -> DataFrame:
-    """(tile, node, first) of every pair of compatible pieces of a frequent key that is not one component by now."""
-    own = tiles.join(pieces.select("tile").distinct(), "tile", "left_semi").select("tile", "node").distinct()
+    """(tile, node) of every pair of compatible pieces of a frequent key that is not one component by now."""
+    own = tiles.join(pieces.select("tile").distinct(), "tile", "left_semi")
     rooted = own.join(roots, "node", "left").select("tile", F.coalesce("root", "node").alias("root"))
     ends = rooted.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     pieces = staged.put(pieces.join(ends, "tile"), "piece_ends")
@@ -524,7 +526,7 @@ def unpaired(pieces: DataFrame, tiles: DataFrame, roots: DataFrame, staged: Stag
     pairs = left.join(right, "key").where("tile < tile_")
     pairs = pairs.where(f"{DEN} * least(high, high_) >= {NUM} * greatest(low, low_)").where("not (least = most and least_ = most_ and least = least_)")
     pairs = staged.put(pairs.select(F.md5(F.concat("tile", "tile_")).cast("binary").alias("pair"), F.explode(F.array("tile", "tile_")).alias("tile")).distinct(), "piece_pairs")
-    return pairs.join(own, "tile").select(F.col("pair").alias("tile"), "node", F.min("node").over(Window.partitionBy("pair")).alias("first"))
+    return pairs.join(own, "tile").select(F.col("pair").alias("tile"), "node").distinct()
 
 
 def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -532,36 +534,37 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col]
     staged = Staged(spark)
     docs = df.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    both = staged.put(arrow_map(docs, partial(_measure, id_col="id_"), f"id_ {kind}, n long, node binary, bits binary, key long, times long"), "measured")
-    measured = both.where("n is not null").select("id_", "n", "node")
+    both = staged.put(arrow_map(docs, partial(_measure, id_col="id_"), f"id_ {kind}, n long, node binary, short long, bits binary, key long, times long"), "measured")
+    measured = both.where("n is not null").select("id_", "n", "node", "short", "bits")
     total = measured.count()
     limit = max(HOT_LEAST, total // HOT_SHARE)
     hot = both.where("key is not null").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > limit)
     hot = hot.orderBy(F.desc("times"), "key").limit(HOT_MOST).select("key").toPandas()["key"]
     hot = spark.sparkContext.broadcast(np.sort(hot.to_numpy(np.int64).view(np.uint64)))
-    classes = both.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id_").alias("low_"), F.count(F.lit(1)).alias("rows_"))
+    classes = both.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"), F.min("id_").alias("low_"), F.count(F.lit(1)).alias("rows_"))
     classes = staged.put(classes, "classes")
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts_log = max(6, (4 * shuffles - 1).bit_length())
     index = arrow_map(docs.select("text_").where("text_ is not null"), partial(_index, hot=hot, parts_log=parts_log), "part int, data binary")
     index = index.repartition(shuffles, "part").sortWithinPartitions("part")
-    found = arrow_map(index, _tile, "tile binary, nodes array<binary>, key long, low long, high long")
-    found = staged.put(found.select("tile", F.explode("nodes").alias("node"), F.element_at("nodes", 1).alias("first"), "key", "low", "high"), "tiles")
-    tiles = found.select("tile", "node", "first").distinct()
-    linked = links(tiles, docs, classes, staged, "all")
+    found = staged.put(arrow_map(index, _tile, "tile binary, nodes array<long>, key long, low long, high long"), "found")
+    tiles = found.dropDuplicates(["tile"]).select("tile", F.explode("nodes").alias("short"))
+    # where two sets share half a digest both come into the tile
+    tiles = staged.put(tiles.join(classes.select("short", "node"), "short").select("tile", "node"), "tiles")
+    linked = links(tiles, docs, measured, classes, staged, "all")
     roots = staged.put(components(linked, staged, "links"), "roots")
     pieces = staged.put(found.where("key is not null").select("tile", "key", "low", "high").distinct(), "pieces")
     if not pieces.isEmpty():
-        more = staged.put(unpaired(pieces, found, roots, staged), "unpaired")
+        more = staged.put(unpaired(pieces, tiles, roots, staged), "unpaired")
         if not more.isEmpty():
-            linked = linked.union(links(more, docs, classes, staged, "more"))
+            linked = linked.union(links(more, docs, measured, classes, staged, "more"))
             roots = staged.put(components(linked, staged, "every"), "every_root")
 
     rooted = staged.put(classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low_", "rows_"), "rooted")
     named = rooted.groupBy("root").agg(F.min("low_").alias("component_id"), F.count(F.lit(1)).alias("nodes_"))
     named = spread_join(rooted, staged.put(named, "named"), "root", "nodes_", total, "inner").select("node", "component_id", "rows_")
-    out = spread_join(measured, staged.put(named, "classes_named"), "node", "rows_", total)
+    out = spread_join(measured.select("id_", "n", "node"), staged.put(named, "classes_named"), "node", "rows_", total)
     return out.select(
         F.col("id_").alias(id_col),
         F.col("n").alias(free("n_shingles", (id_col,))),
