@@ -11,7 +11,8 @@ Hashes are the first 60 bits of md5, so that any engine can repeat them. Rows ar
 placed where they stand: no shuffle, and a frequent key costs nothing more.
 
 Defined results: a null key is placed as the empty string; equal keys get equal
-slots and shards; an empty input gives an empty result; other columns are ignored.
+slots and shards; an empty input gives an empty result; rows may repeat; there are no ties; texts of any length are hashed whole;
+other columns are ignored, and slot and shard get an underscore where the key column has their name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quilter.llm.common import free
+
 #: Production parameters: a prime over 100 times the number of shards.
 TABLE_SIZE = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -68,9 +71,10 @@ def lookup_table(spark: SparkSession, shards: Sequence[str], size: int) -> DataF
 
 def place(df: DataFrame, key_col: str, shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """key_col, slot and shard of every row."""
-    rows = df.select(F.col(key_col), slot_of(F.col(key_col), size).alias("slot"))
+    rows = df.select(F.struct(F.col(key_col).alias("key_")).alias("own_"), slot_of(F.col(key_col), size).alias("slot"))
     owners = lookup_table(df.sparkSession, shards, size)
-    return rows.join(F.broadcast(owners), "slot").select(key_col, "slot", "shard")
+    out = rows.join(F.broadcast(owners), "slot")
+    return out.select(F.col("own_.key_").alias(key_col), *(F.col(c).alias(free(c, (key_col,))) for c in ("slot", "shard")))
 
 
 def oracle(shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> str:

@@ -2,16 +2,19 @@
 
 Two smoothed variable-order Markov models (interpolated Witten-Bell, contexts of
 0 to 3 characters) are counted over accepted and rejected URLs. A URL's score is
-the mean per character of ``log p_rejected - log p_accepted``; the cut-off is
-calibrated on the labelled URLs' score histogram (largest true-accept plus
-true-reject rate). Counting and scoring read each URL once and shuffle partial
-sums; what is broadcast is one row per distinct 4-gram over 32 symbols, so at
-most 32**4 rows whatever the input.
+the mean per character of ``log p_rejected - log p_accepted``. Labels are weak: a URL that a rule
+decides has the rule's verdict; of the others those with a seed word in their host are
+rejected and the rest accepted. One URL in ``HELD_OUT``, by its digest, is left out of the counts; of these,
+the ones that no rule decides (as it is only there that the model is asked) set the cut-off: halfway from the
+bin of scores with the largest true-accept plus true-reject rate to the next bin under it that is not empty.
+Counting and scoring read each URL once and shuffle partial sums; what is broadcast is one row per distinct 4-gram over 32 symbols, so at
+most 32**4 rows whatever the input, and the scores of frequent URLs, 4,096 at most.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no
-rule, and is judged by the model on the empty string (score 0); the same URL
-always gets the same verdict; with no labelled URL of either kind every score is
-0 and the verdict is allow. Other columns of the input are ignored.
+rule, and is judged by the model on the empty string (score 0) or on its text; the same URL
+always gets the same verdict, so repeated rows and ids do; bins of equal rates: the highest; with no labelled URL of either kind every score is
+0 and the verdict is allow; without held-out URLs of both kinds the model blocks nothing; an empty table gives an empty result. Other columns of the input are ignored, and result
+columns get an underscore where the id column has their name.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quilter.llm.common import Staged
+from quilter.llm.common import Staged, free, spread_join
 
 #: (verdict, host, path): fits the host and its subdomains under paths that start so.
 RULES = (
@@ -38,6 +41,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Symbols: 0 start, 1-26 letters, 27 digit, 28 '.', 29 '-', 30 '/', 31 any other.
 BITS, ORDER = 5, 4
 HISTOGRAM_STEP = 0.02
+#: One labelled URL in so many calibrates and is not counted.
+HELD_OUT = 5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -112,70 +117,69 @@ def _model(counts: DataFrame) -> DataFrame:
     return out.select("gram", (F.log("pr") - F.log("pa")).alias("llr"))
 
 
-def url_key(url: Column) -> Column:
-    """Digest of a URL, null as empty."""
-    return F.md5(F.coalesce(url, F.lit("")))
+def held_out(key: Column) -> Column:
+    """Whether a URL, by its digest, is kept for calibration."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % HELD_OUT == 0
 
 
-def score_urls(urls: DataFrame, url_col: str, label: Column, staged: Staged) -> tuple[DataFrame, float]:
+def seed_label(host: Column) -> Column:
+    """'reject' for hosts with a seed word between dots or hyphens, else 'accept'; null for no host."""
+    words = "|".join(SEED_WORDS)
+    bad = host.rlike(rf"(^|[.\-])({words})([.\-]|$)")
+    return F.when(host == "", None).when(bad, "reject").otherwise("accept")
+
+
+def score_urls(one: DataFrame, staged: Staged) -> tuple[DataFrame, float]:
     """Score of each distinct URL and the calibrated cut-off.
 
-    label: 'accept', 'reject' or null (not used for training) from the URL.
+    one: (key, u, label, free), a row for each URL; label is 'accept', 'reject' or null (tells nothing), free says that no rule decides it.
     Returns (key, score), without rows for texts of no characters.
     """
-    text = F.coalesce(F.col(url_col), F.lit(""))
-    one = urls.select(url_key(F.col(url_col)).alias("key"), text.alias("u")).dropDuplicates(["key"])
     bare = F.regexp_replace(F.col("u"), r"^[^:]*://", "")
+    counted = F.when(~held_out(F.col("key")), F.col("label"))
+    judged = F.when(held_out(F.col("key")) & F.col("free"), F.col("label"))
     # digests stand for URLs, which may be long, in all that has a row for each character
-    grams = one.select("key", label.alias("label"), _grams(bare).alias("grams")).select("key", "label", F.explode("grams").alias("gram"))
+    grams = one.select("key", counted.alias("counted"), judged.alias("judged"), _grams(bare).alias("grams")).select("key", "counted", "judged", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(
-        F.count(F.when(F.col("label") == "accept", 1)).alias("a"),
-        F.count(F.when(F.col("label") == "reject", 1)).alias("r"),
+        F.count(F.when(F.col("counted") == "accept", 1)).alias("a"),
+        F.count(F.when(F.col("counted") == "reject", 1)).alias("r"),
     )
     model = staged.put(_model(counts), "url_model")  # at most 32**4 rows
-    scored = grams.join(F.broadcast(model), "gram").groupBy("key", "label").agg(F.avg("llr").alias("score"))
+    scored = grams.join(F.broadcast(model), "gram").groupBy("key", "judged").agg(F.avg("llr").alias("score"))
     scored = staged.put(scored, "url_scores")
     step = F.floor(F.col("score") / HISTOGRAM_STEP)
-    bins = scored.where("label is not null").groupBy(step.alias("bin")).agg(
-        F.count(F.when(F.col("label") == "accept", 1)).alias("a"),
-        F.count(F.when(F.col("label") == "reject", 1)).alias("r"),
+    bins = scored.where("judged is not null").groupBy(step.alias("bin")).agg(
+        F.count(F.when(F.col("judged") == "accept", 1)).alias("a"),
+        F.count(F.when(F.col("judged") == "reject", 1)).alias("r"),
     )
     # Scores are differences of logs of probabilities not under 2**-60 or so: a few thousand bins at most.
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     best = (
-        bins.withColumns({"a_low": F.coalesce(F.sum("a").over(below), F.lit(0)), "r_low": F.coalesce(F.sum("r").over(below), F.lit(0)), "at": F.sum("a").over(everything), "rt": F.sum("r").over(everything)})
+        bins.withColumns({"a_low": F.coalesce(F.sum("a").over(below), F.lit(0)), "r_low": F.coalesce(F.sum("r").over(below), F.lit(0)), "at": F.sum("a").over(everything), "rt": F.sum("r").over(everything), "under": F.lag("bin").over(Window.orderBy("bin"))})
         .where("at > 0 and rt > 0")
         .withColumn("gain", F.col("a_low") / F.col("at") - F.col("r_low") / F.col("rt"))
         .orderBy(F.desc("gain"), F.desc("bin"))
-        .select("bin")
+        .select("bin", F.coalesce(F.col("under") + 1, "bin").alias("under"))
         .head()
     )
-    cut = best["bin"] * HISTOGRAM_STEP if best else float("inf")
+    cut = (best["bin"] + best["under"]) / 2 * HISTOGRAM_STEP if best else float("inf")
     return scored.select("key", "score"), cut
 
 
-def seed_label(host: Column) -> Column:
-    """'reject' for hosts with a seed word between dots or hyphens, else 'accept'; null for no host."""
-    words = "|".join(SEED_WORDS)
-    bad = host.rlike(rf"(^|[.\-])({words})([.\-]|$)")
-    return F.when(host == "", None).when(bad, "reject").otherwise("accept")
-
-
 def judge_urls(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """id_col, host, path, rule, verdict and score of every row."""
     staged = Staged(pages.sparkSession)
-    host, _ = host_path(F.col("u"))
-    scores, cut = score_urls(pages, url_col, seed_label(host), staged)
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url_"))
-    rows = rows.withColumn("u", F.coalesce("url_", F.lit("")))
+    rows = pages.select(F.struct(F.col(id_col).alias("id_")).alias("own_"), F.coalesce(F.col(url_col), F.lit("")).alias("u"))
+    rows = rows.withColumn("key", F.md5("u"))
+    one = rows.groupBy("key").agg(F.first("u").alias("u"), F.count(F.lit(1)).alias("times"))
     host, path = host_path(F.col("u"))
-    rows = rows.withColumns({"host": host, "path": path})
+    one = one.withColumns({"host": host, "path": path})
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    joined = rows.withColumn("key", url_key(F.col("url_"))).join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return joined.select(
-        id_col, "host", "path", "rule",
-        F.coalesce("ruled", F.when(F.col("score") >= cut, "block").otherwise("allow")).alias("verdict"),
-        "score",
-    )
+    one = staged.put(one.withColumns({"rule": rule, "ruled": verdict}), "urls")
+    label = F.when(F.col("ruled") == "block", "reject").when(F.col("ruled") == "allow", "accept").otherwise(seed_label(F.col("host")))
+    scores, cut = score_urls(one.select("key", "u", label.alias("label"), F.col("ruled").isNull().alias("free")), staged)
+    facts = one.drop("u").join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    facts = staged.put(facts.withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") >= cut, "block").otherwise("allow"))), "url_facts")
+    out = spread_join(rows.select("own_", "key"), facts, "key", "times", pages.count(), "inner")
+    return out.select(F.col("own_.id_").alias(id_col), *(F.col(c).alias(free(c, (id_col,))) for c in ("host", "path", "rule", "verdict", "score")))
