@@ -2,9 +2,11 @@
 
 Anchors are common words. Each anchor begins a signature: the anchor and the chain of
 the next ``CHAIN`` content words (words that are not anchors), hashed to 32 bits. The
-start of the text is an anchor too, so any text with a content word has a signature.
+start of the text is an anchor too, so any text with a content word has a signature. Where
+a text has under one signature in ``SPARSE`` content words (a menu, another language), content words
+whose hash falls in one class of ``SPARE`` are anchors of it as well.
 A fingerprint is the text's sorted set of signatures; likeness is Jaccard, with the
-bound ``smaller / larger set`` tested before sets are intersected.
+bound ``smaller / larger set`` tested before sets are intersected where a threshold is given.
 
 Anchors are glued to the content word that follows them, after which a chain is a
 window over the array of content words: linear in the text's length, no rows per word.
@@ -14,10 +16,13 @@ brings the texts together. ``duplicates`` finds pairs of likeness
 ``threshold`` or more between distinct fingerprints: partitions by set length, a prefix
 index of rare signatures inside them, then pruned Jaccard.
 
+``fingerprints`` reports every likeness as it is, so no threshold prunes there; partitions by length and pruning are ``duplicates``' way.
+
 Defined results: null text is the empty text; a text without content words has the
 empty fingerprint, which has likeness 1 to itself and 0 to any other; the row after
 the last is the first; rows with the same id share their next row, and of several rows
-with the next id the one of the smallest head (then fingerprint) counts; a null id comes first.
+with the next id the one of the smallest head (then fingerprint) counts; a null id comes first; an empty table gives an empty
+result; other columns are ignored, and result columns get an underscore where the id column has their name.
 """
 
 from __future__ import annotations
@@ -28,9 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quilter.llm.common import Staged
+from quilter.llm.common import Staged, free
 
 CHAIN, THRESHOLD = 3, 0.8
+SPARSE, SPARE = 20, 4
 #: Common words of English, German, French and Spanish (fixed values).
 ANCHORS = (
     "a an and are as at be by for from had has have he her his i in is it its not of on or she that the they this to was we were which will with you "
@@ -40,7 +46,7 @@ ANCHORS = (
 )
 
 
-START, END = "^", "$"
+START, END, SPARE_MARK = "^", "$", "*"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,7 +80,11 @@ def signatures(text: Column, chain: int = CHAIN, anchors: str = ANCHORS) -> Colu
                 follow = F.concat_ws(" ", F.slice(content, i + 1, chain))
                 return F.when(w.contains("~") & (i < F.size(content)), led(F.substring(w, F.lit(1), F.length(w) - F.length(F.substring_index(w, "~", -1)) - 1), follow)).otherwise(F.array().cast("array<int>"))
 
-            return F.flatten(F.transform(words, at))
+            def spare(w: Column, i: Column) -> Column:
+                return F.when((F.pmod(F.hash(w), F.lit(SPARE)) == 0) & (i + 1 < F.size(content)), F.hash(F.lit(SPARE_MARK), F.concat_ws(" ", F.slice(content, i + 2, chain))))
+
+            more = F.filter(F.transform(content, spare), lambda x: x.isNotNull())
+            return let(F.flatten(F.transform(words, at)), lambda found: F.when(F.size(found) * SPARSE < F.size(content), F.concat(found, more)).otherwise(found))
 
         return let(bare, all_of)
 
@@ -112,19 +122,20 @@ def next_ids(ids: DataFrame, id_col: str, staged: Staged) -> DataFrame:
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, staged: Staged) -> DataFrame:
-    """(id_, text_, head_, after_) of every row: as much of the next text's head as the row may need, and its signatures.
+    """(id_, text_, own_, head_, after_) of every row: its signatures, as much of the next text's head as it may need, and that text's signatures.
 
-    Whole texts are shuffled once, by id, and used from that shuffle twice; of the next texts only heads and signatures travel on.
+    Signatures are computed once, where a text is read. Whole texts are shuffled once, by id, and used from that
+    shuffle twice; of the next texts only heads and signatures travel on.
     """
     # ids as structs are never null, so all joins and the aggregate are by plain equality of one column
     docs = df.select(F.struct(F.col(id_col).alias("id_")).alias("key_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
     halves = docs.groupBy(F.col("key_").alias("before_")).agg(F.max(F.floor(F.length("text_") / 2)).cast("int").alias("half_"))
     links = next_ids(df, id_col, staged).select(F.struct("id_").alias("before_"), F.struct(F.col("next_").alias("id_")).alias("key_"))
     links = staged.put(links.join(halves, "before_"), "next_ids")
-    follow = docs.join(links, "key_")
-    head = F.struct(F.substring(F.col("text_"), F.lit(1), F.col("half_")).alias("head_"), signatures(F.col("text_")).alias("after_"))
-    follow = follow.select("before_", head.alias("n_")).groupBy("before_").agg(F.min("n_").alias("n_"))
-    return docs.join(follow, F.col("key_") == F.col("before_")).select("key_.id_", "text_", "n_.head_", "n_.after_")
+    signed = docs.withColumn("own_", signatures(F.col("text_")))
+    head = F.struct(F.substring(F.col("text_"), F.lit(1), F.col("half_")).alias("head_"), F.col("own_").alias("after_"))
+    follow = signed.join(links, "key_").select("before_", head.alias("n_")).groupBy("before_").agg(F.min("n_").alias("n_"))
+    return signed.join(follow, F.col("key_") == F.col("before_")).select("key_.id_", "text_", "own_", "n_.head_", "n_.after_")
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,16 +145,16 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = F.length("text_")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text_"), F.lit(1), n - half), F.substring(F.col("head_"), F.lit(1), half))
-    rows = rows.withColumns({"edited_": edited})
-    rows = rows.withColumns({"own_": signatures(F.col("text_")), "changed_": signatures(F.col("edited_"))})
+    rows = rows.withColumns({"edited_": edited}).withColumns({"changed_": signatures(F.col("edited_"))})
+    named = lambda name: free(name, (id_col,))
     return rows.select(
         F.col("id_").alias(id_col),
-        n.cast("long").alias("n_chars"),
-        F.sha2(F.col("edited_").cast("binary"), 256).alias("edited_sha256"),
-        to_string(F.col("own_")).alias("fingerprint"),
-        to_string(F.col("changed_")).alias("edited_fingerprint"),
-        likeness(F.col("own_"), F.col("changed_")).alias("near_edited"),
-        likeness(F.col("own_"), F.col("after_")).alias("near_next"),
+        n.cast("long").alias(named("n_chars")),
+        F.sha2(F.col("edited_").cast("binary"), 256).alias(named("edited_sha256")),
+        to_string(F.col("own_")).alias(named("fingerprint")),
+        to_string(F.col("changed_")).alias(named("edited_fingerprint")),
+        likeness(F.col("own_"), F.col("changed_")).alias(named("near_edited")),
+        likeness(F.col("own_"), F.col("after_")).alias(named("near_next")),
     )
 
 
