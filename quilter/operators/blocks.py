@@ -1,4 +1,7 @@
-"""Decoding of compressed 4 by 4 blocks, their bytes and constants, by array functions alone.
+"""Decoding of compressed 4 by 4 blocks, their bytes and constants, by plain expressions: no lambdas, so all of it is compiled.
+
+Decoders turn a table of blocks into a table of texels: the block's columns, k (0 to 15 in row order) and the channels.
+A block's palette and its packed indices are columns before its texels are told apart, so both are computed once a block.
 
 Blocks are columns: c0, c1 (16-bit colours) and t0..t3 (a byte of four 2-bit indices for each row);
 d0, d1 (8-bit ends) and u0..u5 (16 3-bit indices, lowest first); a0..a7 (16 4-bit alphas).
@@ -9,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quilter.functions.colour import from_565, normalise
@@ -89,60 +92,66 @@ def field(name: str) -> Callable[[Column], Column]:
     return lambda t: t[name]
 
 
-def shift_right(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", value, bits.cast("int"))
-
-
 def join_bytes(parts: Sequence[Column]) -> Column:
     """Bytes as one number, the first lowest."""
     return sum((F.shiftleft(p.cast("long"), 8 * i) for i, p in enumerate(parts[1:], 1)), parts[0].cast("long"))
 
 
-def indices(packed: Column, bits: int) -> Column:
-    """The 16 indices of a packed number."""
-    return F.transform(F.sequence(F.lit(0), F.lit(TEXELS - 1)), lambda k: shift_right(packed, k * bits).bitwiseAND((1 << bits) - 1))
+def _index(packed: str, bits: int, k: Column | None = None) -> Column:
+    """Index of texel k in a column of packed indices."""
+    shift = ((F.col("k") if k is None else k) * bits).cast("int")
+    return F.call_function("shiftright", F.col(packed), shift).bitwiseAND((1 << bits) - 1)
 
 
-def pick(palette: Column, index: Column) -> Column:
-    """Palette entries of an array of indices."""
-    return F.transform(index, lambda i: F.element_at(palette, i.cast("int") + 1))
+def _entry(palette: str, packed: str, bits: int) -> Column:
+    """Palette entry of texel k."""
+    return F.element_at(palette, _index(packed, bits).cast("int") + 1)
 
 
-def decode_bc1(c0: Column, c1: Column, rows: Sequence[Column], alpha: bool = False) -> Column:
-    """16 colours r, g, b and, with alpha, a."""
-    return pick(colour_palette(c0, c1, alpha), indices(join_bytes(rows), 2))
+def _texels(df: DataFrame, parts: dict[str, Column], channels: dict[str, Column]) -> DataFrame:
+    d = df.withColumns(parts).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TEXELS - 1).cast("long"))))
+    return d.withColumns(channels).drop(*parts)
 
 
-def alphas4(parts: Sequence[Column]) -> Column:
-    """16 alphas of eight bytes, 4 bits each. Two numbers of 32 bits, as 64 bits have a sign."""
-    low, high = join_bytes(parts[:4]), join_bytes(parts[4:])
-    one = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: shift_right(v, k * 4).bitwiseAND(15).cast("double") / 15.0)
-    return F.concat(one(low), one(high))
+def _colours(c0: Column, c1: Column, rows: Sequence[Column], alpha: bool = False, four_only: bool = False) -> dict[str, Column]:
+    return {"palette_": colour_palette(c0, c1, alpha, four_only), "packed_": join_bytes(rows)}
 
 
-def with_alpha(colours: Column, alphas: Column) -> Column:
-    return F.zip_with(colours, alphas, lambda c, a: F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), a.alias("a")))
+def _values(d0: Column, d1: Column, packed: Sequence[Column], prefix: str = "v") -> dict[str, Column]:
+    return {f"{prefix}_palette_": scalar_palette(d0, d1), f"{prefix}_packed_": join_bytes(packed)}
 
 
-def decode_bc2(c0: Column, c1: Column, rows: Sequence[Column], alpha_bytes: Sequence[Column], mode: str = "faithful") -> Column:
-    """Colours with 4-bit alpha: always four colours, or as without alpha if mode is 'corrected'."""
-    colours = pick(colour_palette(c0, c1, four_only=mode == "faithful"), indices(join_bytes(rows), 2))
-    return with_alpha(colours, alphas4(alpha_bytes))
+def _picked(channels: str) -> dict[str, Column]:
+    return {c: _entry("palette_", "packed_", 2)[c] for c in channels}
 
 
-def decode_bc4(d0: Column, d1: Column, packed: Sequence[Column]) -> Column:
-    """16 values."""
-    return pick(scalar_palette(d0, d1), indices(join_bytes(packed), 3))
+def decode_bc1(df: DataFrame, c0: Column, c1: Column, rows: Sequence[Column], alpha: bool = False) -> DataFrame:
+    """Colours r, g, b and, with alpha, a."""
+    return _texels(df, _colours(c0, c1, rows, alpha), _picked("rgba" if alpha else "rgb"))
 
 
-def decode_bc3(c0: Column, c1: Column, rows: Sequence[Column], d0: Column, d1: Column, packed: Sequence[Column]) -> Column:
+def decode_bc2(df: DataFrame, c0: Column, c1: Column, rows: Sequence[Column], alpha_bytes: Sequence[Column], mode: str = "faithful") -> DataFrame:
+    """Colours with 4-bit alpha: always four colours, or as without alpha if mode is 'corrected'."""
+    # two numbers of 32 bits, as 64 bits have a sign
+    parts = _colours(c0, c1, rows, four_only=mode == "faithful") | {"low_": join_bytes(alpha_bytes[:4]), "high_": join_bytes(alpha_bytes[4:])}
+    k = F.col("k")
+    alpha = F.when(k < 8, _index("low_", 4)).otherwise(_index("high_", 4, k - 8))
+    return _texels(df, parts, _picked("rgb") | {"a": alpha.cast("double") / 15.0})
+
+
+def decode_bc3(df: DataFrame, c0: Column, c1: Column, rows: Sequence[Column], d0: Column, d1: Column, packed: Sequence[Column]) -> DataFrame:
     """Colours of the first kind of block with alphas of the fourth."""
-    return with_alpha(decode_bc1(c0, c1, rows), decode_bc4(d0, d1, packed))
+    return _texels(df, _colours(c0, c1, rows) | _values(d0, d1, packed), _picked("rgb") | {"a": _entry("v_palette_", "v_packed_", 3)})
+
+
+def decode_bc4(df: DataFrame, d0: Column, d1: Column, packed: Sequence[Column]) -> DataFrame:
+    """Values v."""
+    return _texels(df, _values(d0, d1, packed), {"v": _entry("v_palette_", "v_packed_", 3)})
 
 
-def decode_bc5(red: tuple, green: tuple) -> Column:
-    """Two values for each texel."""
-    return F.zip_with(decode_bc4(*red), decode_bc4(*green), lambda r, g: F.struct(r.alias("r"), g.alias("g")))
+def decode_bc5(df: DataFrame, red: tuple, green: tuple) -> DataFrame:
+    """Values r and g."""
+    return _texels(df, _values(*red, "red") | _values(*green, "green"), {c: _entry(f"{n}_palette_", f"{n}_packed_", 3) for c, n in (("r", "red"), ("g", "green"))})
 
 
 def hex_bytes(parts: Sequence[tuple[Column, int]]) -> Column:

@@ -86,33 +86,34 @@ def _fit_colours(s: np.ndarray, entries: int):
     tiles, n, _ = s.shape
     order = np.argsort(np.einsum("tnc,tc->tn", s, principal_axis(s)), axis=1, kind="stable")
     ranked = np.take_along_axis(s, order[..., None], axis=1)
-    steps = np.linspace(0, 1, entries)[:, None]
+    steps = np.linspace(0, 1, entries)
     target = (ranked @ PERCEPTUAL).astype(np.float32)
 
-    def judge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Error and indices for ends [tiles, k]."""
-        ea, eb = expand565(a) @ PERCEPTUAL, expand565(b) @ PERCEPTUAL
-        palette = (ea[:, :, None] * (1 - steps) + eb[:, :, None] * steps).astype(np.float32)
-        best = idx = None
-        for e in range(entries):
-            d = target[:, None] - palette[:, :, e, None]
-            d = np.einsum("tknc,tknc->tkn", d, d)
-            idx = np.zeros(d.shape, np.int8) if best is None else np.where(d < best, np.int8(e), idx)
-            best = d if best is None else np.minimum(best, d)
-        return np.sqrt(best).sum(axis=2, dtype=np.float64), idx
-
     a, b = ordered_ends(quantise565(s.min(axis=1)), quantise565(s.max(axis=1)), 0xFFFF, entries == 4)
     ends = [a[:, None], b[:, None]]
     if n >= 2 and len((solved := solver(n, entries))[2]):
         ca, cb = (np.einsum("kn,tnc->tkc", w, ranked) for w in solved[:2])
         a, b = ordered_ends(quantise565(ca), quantise565(cb), 0xFFFF, entries == 4)
         ends = [np.concatenate([ends[0], a], axis=1), np.concatenate([ends[1], b], axis=1)]
-    error, idx = judge(*ends)
-    best = error.argmin(axis=1)  # the first among equals, the box's ends before all cuts
-    rows = np.arange(tiles)
+    cuts_ = ends[0].shape[1]
+    code = (np.arange(tiles)[:, None] << 32 | ends[0] << 16 | ends[1]).ravel()
+    code, first = np.unique(code, return_index=True)
+    tile = code >> 32
+    ea, eb = (expand565(x) @ PERCEPTUAL for x in (code >> 16 & 0xFFFF, code & 0xFFFF))
+    own = target[tile]
+    best = idx = None
+    for e, w in enumerate(steps):
+        d = own - (ea * (1 - w) + eb * w).astype(np.float32)[:, None]
+        d = np.einsum("knc,knc->kn", d, d)
+        idx = np.zeros(d.shape, np.int8) if best is None else np.where(d < best, np.int8(e), idx)
+        best = d if best is None else np.minimum(best, d)
+    error = np.sqrt(best).sum(axis=1, dtype=np.float64)
+    order_ = np.lexsort((first, error, tile))  # the first among equals, the box's ends before all cuts
+    won = order_[np.searchsorted(tile[order_], np.arange(tiles))]
     out = np.empty((tiles, n), np.int64)
-    np.put_along_axis(out, order, idx[rows, best].astype(np.int64), axis=1)
-    return ends[0][rows, best], ends[1][rows, best], out, error[rows, best]
+    np.put_along_axis(out, order, idx[won].astype(np.int64), axis=1)
+    assert (first[won] // cuts_ == np.arange(tiles)).all()
+    return code[won] >> 16 & 0xFFFF, code[won] & 0xFFFF, out, error[won]
 
 
 def fit_values(s: np.ndarray, mode: str = "faithful", block: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,30 +10,40 @@ from pyspark.sql import functions as F
 
 
 class BitWriter:
-    """Bits lowest first, bytes in order."""
+    """Bits lowest first, bytes in order; whole bytes leave the register as they fill."""
 
     def __init__(self):
-        self.value = self.size = 0
+        self.done, self.value, self.size = bytearray(), 0, 0
 
     def write(self, value: int, bits: int) -> None:
         self.value |= (value & ((1 << bits) - 1)) << self.size
         self.size += bits
+        if whole := self.size // 8:
+            self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.size -= 8 * whole
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.size + 7) // 8, "little")
+        return bytes(self.done) + (bytes([self.value]) if self.size else b"")
 
 
 class BitReader:
+    """Reads what ``BitWriter`` wrote; bytes enter the register as they are asked for."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "little"), 8 * len(data)
+        self.data, self.at, self.value, self.held = data, 0, 0, 0
 
     def read(self, bits: int) -> int | None:
         """The next bits as a number, or None if there are too few."""
-        if bits > self.left:
+        if bits > self.held + 8 * (len(self.data) - self.at):
             return None
+        if (more := -(-(bits - self.held) // 8)) > 0:
+            self.value |= int.from_bytes(self.data[self.at : self.at + more], "little") << self.held
+            self.at += more
+            self.held += 8 * more
         out = self.value & ((1 << bits) - 1)
         self.value >>= bits
-        self.left -= bits
+        self.held -= bits
         return out
 
 
@@ -58,38 +68,17 @@ def lz78_encode(symbols: list[int], bits: int = 16) -> bytes:
 
 
 def pack_bits(parts: list[tuple[int, int]]) -> bytes:
-    """Numbers of so many bits each, in linear time: whole bytes leave the register as they fill."""
-    done, value, size = bytearray(), 0, 0
+    """Numbers of so many bits each."""
+    w = BitWriter()
     for v, bits in parts:
-        value |= (v & ((1 << bits) - 1)) << size
-        size += bits
-        while size >= 8:
-            done.append(value & 255)
-            value >>= 8
-            size -= 8
-    if size:
-        done.append(value)
-    return bytes(done)
+        w.write(v, bits)
+    return w.bytes()
 
 
 def lz78_decode(data: bytes, bits: int = 16) -> list[int]:
     known: list[tuple[int, int]] = []
     out: list[int] = []
-    at, total, register, held = 0, 8 * len(data), 0, 0
-
-    def take(n: int) -> int | None:
-        nonlocal at, register, held, total
-        if n > total:
-            return None
-        while held < n:
-            register |= data[at] << held
-            held += 8
-            at += 1
-        v = register & ((1 << n) - 1)
-        register >>= n
-        held -= n
-        total -= n
-        return v
+    take = BitReader(data).read
 
     def spell(entry: int) -> list[int]:
         word = []
@@ -170,12 +159,31 @@ DISTANCE_BITS, DISTANCE_FROM = (5, 7, 9, 11), (0, 32, 128, 512)
 
 
 def pack_match(distance: Column, length: Column) -> Column:
-    """16 bits: kind, length, distance."""
+    """16 bits: kind, length, distance. Null where they do not fit: a distance's kind leaves 14 bits less its own for the length."""
     kind, bits = F.lit(0), F.lit(DISTANCE_BITS[0])
     for k in range(1, 4):
         far = distance >= DISTANCE_FROM[k]
         kind, bits = F.when(far, k).otherwise(kind), F.when(far, DISTANCE_BITS[k]).otherwise(bits)
-    return (kind * 16384 + length * F.pow(F.lit(2), bits).cast("long") + distance).cast("long")
+    base = F.pow(F.lit(2), bits).cast("long")
+    fits = (distance >= 0) & (distance < 1 << DISTANCE_BITS[-1]) & (length >= 0) & (length * base < 16384)
+    return F.when(fits, kind * 16384 + length * base + distance).cast("long")
+
+
+def code_bits(parts: list[tuple[Column, int]]) -> Column:
+    """Numbers of so many bits each, 63 in all at most, lowest first, as one number."""
+    if sum(b for _, b in parts) > 63:
+        raise ValueError("more than 63 bits")
+    out, at = F.lit(0).cast("long"), 0
+    for v, bits in parts:
+        out = out.bitwiseOR(F.shiftleft(v.cast("long").bitwiseAND((1 << bits) - 1), at))
+        at += bits
+    return out
+
+
+def read_bits(packed: Column, widths: list[int]) -> list[Column]:
+    """The numbers of a packed one."""
+    starts = [sum(widths[:i]) for i in range(len(widths))]
+    return [F.shiftright(packed, a).bitwiseAND((1 << w) - 1) for a, w in zip(starts, widths, strict=True)]
 
 
 def unpack_match(code: Column) -> tuple[Column, Column]:

@@ -1,7 +1,8 @@
 """Neighbour filters and the predictor-based size estimate over pixel grids.
 
-All windows of an image are computed from one shuffle by image_id: partitioning by the
-image satisfies windows over its rows, columns and buckets.
+Neighbours are found inside bands of rows, each with a copy of the row above it, so one large image is
+as many tasks as it has bands; one shuffle by image and band serves both windows. The size estimate is sequential by
+definition (a pixel's prediction is the last pixel of its context, wherever in the image): its windows share one shuffle by image.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from quilter.functions.colour import HASH, distance_squared, wrap_add, wrap_sub
 #: Value of a channel outside the image: black, opaque.
 OUTSIDE = {"r": 0, "g": 0, "b": 0, "a": 255}
 BUCKETS = 256
+#: Rows of pixels in a band.
+BAND = 64
 
 
 def by_image(df: DataFrame) -> DataFrame:
@@ -23,10 +26,14 @@ def by_image(df: DataFrame) -> DataFrame:
 
 def neighbours(df: DataFrame, channels: str) -> DataFrame:
     """Columns a_, b_ and c_ of each channel: the pixel to the left, above, and above left."""
-    left = Window.partitionBy("image_id", "y").orderBy("x")
-    above = Window.partitionBy("image_id", "x").orderBy("y")
-    d = by_image(df).withColumns({f"a_{c}": F.coalesce(F.lag(c).over(left), F.lit(OUTSIDE[c])) for c in channels})
+    own = F.floor(F.col("y") / BAND)
+    bands = F.when(F.col("y") % BAND == BAND - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    left = Window.partitionBy("image_id", "band_", "y").orderBy("x")
+    above = Window.partitionBy("image_id", "band_", "x").orderBy("y")
+    d = df.withColumn("band_", F.explode(bands)).repartition("image_id", "band_")
+    d = d.withColumns({f"a_{c}": F.coalesce(F.lag(c).over(left), F.lit(OUTSIDE[c])) for c in channels})
     d = d.withColumns({f"b_{c}": F.lag(c).over(above) for c in channels} | {f"c_{c}": F.lag(f"a_{c}").over(above) for c in channels})
+    d = d.where(F.col("band_") == own).drop("band_")
     return d.withColumns({f"{n}_{c}": F.coalesce(f"{n}_{c}", F.lit(OUTSIDE[c])) for n in "bc" for c in channels})
 
 

@@ -111,3 +111,11 @@ def blank(spark, width: int, height: int, channels: str = "rgba", fill: dict[str
     fill = {**filters.OUTSIDE, **(fill or {})}
     d = spark.range(width * height).select(F.lit(0).cast("long").alias("image_id"), (F.col("id") % width).alias("x"), F.floor(F.col("id") / width).alias("y"))
     return d.select("*", *[F.lit(fill[c]).cast("long").alias(c) for c in channels])
+
+
+def put(image: DataFrame, edits: DataFrame, channels: str = "rgba") -> DataFrame:
+    """The image with the pixels of ``edits`` set; both need the same channels."""
+    if missing := [c for c in channels if c not in image.columns or c not in edits.columns]:
+        raise TypeError(f"channels {missing} are not in both")
+    new = edits.select("image_id", "x", "y", *[F.col(c).alias(f"new_{c}") for c in channels])
+    return image.join(new, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(f"new_{c}", c).alias(c) for c in channels])

@@ -82,13 +82,18 @@ def with_axis(df: DataFrame) -> DataFrame:
     entry = lambda a, b: (n * product(a, b) - F.col(f"s_{a}") * F.col(f"s_{b}")).cast("double") / (n * n * 65025).cast("double")
     d = d.withColumns({f"v_{a}{b}": entry(a, b) for i, a in enumerate(AXES) for b in AXES[i:]})
     v = lambda a, b: F.col(f"v_{min(a, b, key=AXES.index)}{max(a, b, key=AXES.index)}")
-    d = d.withColumn("axis", F.col("diagonal"))
-    for _ in range(ROUNDS):
-        p = V.parts(F.col("axis"), 3)
-        d = d.withColumn("next", V.vec(*[v(a, "r") * p[0] + v(a, "g") * p[1] + v(a, "b") * p[2] for a in AXES]))
-        d = d.withColumn("size", V.length(F.col("next"), 3))
-        d = d.withColumn("axis", F.when(F.col("size") > 1e-6, V.divide(F.col("next"), F.col("size"), 3)).otherwise(F.col("diagonal")))
-    return d.drop("next", "size", *[f"v_{a}{b}" for i, a in enumerate(AXES) for b in AXES[i:]])
+
+    def turned(v_: Column) -> Column:
+        size = V.length(v_, 3)
+        return F.when(size > 1e-6, V.divide(v_, size, 3)).otherwise(F.col("diagonal"))
+
+    def step(axis: Column, _: Column) -> Column:
+        p = V.parts(axis, 3)
+        moved = V.vec(*[v(a, "r") * p[0] + v(a, "g") * p[1] + v(a, "b") * p[2] for a in AXES])
+        return F.element_at(F.transform(F.array(moved), turned), 1)
+
+    d = d.withColumn("axis", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("diagonal"), step))
+    return d.drop(*[f"v_{a}{b}" for i, a in enumerate(AXES) for b in AXES[i:]])
 
 
 def image_error(a: DataFrame, b: DataFrame) -> DataFrame:

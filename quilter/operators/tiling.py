@@ -39,8 +39,13 @@ def tiles(df: DataFrame, channels: str) -> DataFrame:
 def stitch(df: DataFrame, texels: str = "texels") -> DataFrame:
     """Tiles back to pixels; padding beyond width and height is cut off."""
     d = df.select("image_id", "bx", "by", "width", "height", F.posexplode(texels).alias("k", "t"))
-    d = d.withColumns({"x": F.col("bx") * TILE + F.col("k") % TILE, "y": F.col("by") * TILE + F.floor(F.col("k") / TILE)})
-    return d.where("x < width and y < height").select("image_id", "x", "y", "t.*")
+    return place(d.select("image_id", "bx", "by", "width", "height", "k", "t.*"))
+
+
+def place(texels: DataFrame) -> DataFrame:
+    """Texels (image_id, bx, by, width, height, k and channels) to pixels; padding is cut off."""
+    d = texels.withColumns({"x": F.col("bx") * TILE + F.col("k") % TILE, "y": F.col("by") * TILE + F.floor(F.col("k") / TILE)})
+    return d.where("x < width and y < height").select("image_id", "x", "y", *[c for c in texels.columns if c not in ("image_id", "bx", "by", "width", "height", "k")])
 
 
 def super_block_side(extent: Column) -> Column:
@@ -57,10 +62,10 @@ def super_block_grid(width: Column, height: Column) -> dict[str, Column]:
 
 
 def in_super_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks (image_id, bx, by, blocks_wide, blocks_high) with their super-block (sx, sy) and rank in its row scan."""
+    """Blocks (image_id, bx, by, blocks_wide, blocks_high, and z if there are planes) with their super-block (sx, sy) and rank in its row scan."""
     side = {"sbw": super_block_side(F.col("blocks_wide")), "sbh": super_block_side(F.col("blocks_high"))}
     d = blocks.withColumns(side).withColumns({"sx": F.floor(F.col("bx") / F.col("sbw")), "sy": F.floor(F.col("by") / F.col("sbh"))})
-    scan = Window.partitionBy("image_id", "sy", "sx").orderBy("by", "bx")
+    scan = Window.partitionBy("image_id", *(["z"] if "z" in blocks.columns else []), "sy", "sx").orderBy("by", "bx")
     return d.withColumn("rank", (F.row_number().over(scan) - 1).cast("long"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quilter.functions import colour as C
 from quilter.operators import blocks as B
@@ -10,6 +11,7 @@ from quilter.operators import coders, encode, filters, graph, statistics, tiling
 from quilter.plans.registry import Registry
 from quilter.plans.scalar import lerp_sql, mod_sql, perceptual_sql, matrix_sql, unorm
 from quilter.sources import container, images
+from quilter.sources.store import scratch
 from quilter.sources.grids import BLOCK_SQL, GRID_SQL, flat_pixels, packed_blocks, pixels, smooth_pixels, table, tiles_of_numbers
 
 IMAGING = Registry()
@@ -238,17 +240,20 @@ IMAGING.add(
 IMAGING.add("P06", lambda s, d: placed(s, d).select("image_id", "bx", "by", "rank"), BLOCK_CELLS_SQL + "SELECT image_id, bx, by, row_number() OVER (PARTITION BY image_id, by // sh, bx // sw ORDER BY by, bx) - 1 AS rank FROM sb")
 
 
+SHREDDED = ("c0", "c1", "t0", "t1", "t2", "t3")
+
+
 def _shredded(spark, sf_dir):
-    one = F.sort_array(F.collect_list(F.struct("rank", "c0", "c1", "t0")))
+    one = F.sort_array(F.collect_list(F.struct("rank", *SHREDDED)))
     d = placed(spark, sf_dir).groupBy("image_id", "sy", "sx").agg(one.alias("l"))
-    return d.select("image_id", "sy", "sx", *[F.array_join(F.transform("l", B.field(c)), ",").alias(c) for c in ("c0", "c1", "t0")])
+    return d.select("image_id", "sy", "sx", *[F.array_join(F.transform("l", B.field(c)), ",").alias(c) for c in SHREDDED])
 
 
 IMAGING.add(
     "P07",
     _shredded,
-    GRID_SQL + CELLS_SQL + ", e AS (SELECT image_id, bx, by, any_value((width + 3) // 4) AS bw, any_value((height + 3) // 4) AS bh, max(CASE WHEN k = 0 THEN r END) * 200 AS c0, max(CASE WHEN k = 15 THEN g END) * 199 AS c1, max(CASE WHEN k = 1 THEN b END) AS t0 FROM tx GROUP BY image_id, bx, by), "
-    f"f AS (SELECT *, bx // ({_side('bw')}) AS sx, by // ({_side('bh')}) AS sy FROM e) SELECT image_id, sy, sx, " + ", ".join(f"string_agg({c}::VARCHAR, ',' ORDER BY by, bx) AS {c}" for c in ("c0", "c1", "t0")) + " FROM f GROUP BY image_id, sy, sx",
+    GRID_SQL + CELLS_SQL + ", e AS (SELECT image_id, bx, by, any_value((width + 3) // 4) AS bw, any_value((height + 3) // 4) AS bh, max(CASE WHEN k = 0 THEN r END) * 200 AS c0, max(CASE WHEN k = 15 THEN g END) * 199 AS c1, " + ", ".join(f"max(CASE WHEN k = {4 * i + 1} THEN b END) AS t{i}" for i in range(4)) + " FROM tx GROUP BY image_id, bx, by), "
+    f"f AS (SELECT *, bx // ({_side('bw')}) AS sx, by // ({_side('bh')}) AS sy FROM e) SELECT image_id, sy, sx, " + ", ".join(f"string_agg({c}::VARCHAR, ',' ORDER BY by, bx) AS {c}" for c in SHREDDED) + " FROM f GROUP BY image_id, sy, sx",
 )
 #: Columns a block is shredded into, by format (fixed values).
 ASPECTS = {"BC1": "c0,c1,texels"}
@@ -260,7 +265,7 @@ def packed(spark, sf_dir):
 
 
 IMAGING.add("P09", lambda s, d: packed(s, d).select("image_id", "sy", "sx", "n_blocks", F.length("payload").cast("long").alias("bytes")))
-IMAGING.add("P10", lambda s, d: container.unpack(packed(s, d)), GRID_SQL + CELLS_SQL + "SELECT image_id, bx, by, max(CASE WHEN k = 0 THEN r END) * 200 AS c0, max(CASE WHEN k = 15 THEN g END) * 199 AS c1, " + ", ".join(f"max(CASE WHEN k = {4 * i + 1} THEN b END) AS t{i}" for i in range(4)) + " FROM tx GROUP BY image_id, bx, by")
+IMAGING.add("P10", lambda s, d: container.unpack(packed(s, d)), GRID_SQL + CELLS_SQL + "SELECT image_id, 0::BIGINT AS z, bx, by, max(CASE WHEN k = 0 THEN r END) * 200 AS c0, max(CASE WHEN k = 15 THEN g END) * 199 AS c1, " + ", ".join(f"max(CASE WHEN k = {4 * i + 1} THEN b END) AS t{i}" for i in range(4)) + " FROM tx GROUP BY image_id, bx, by")
 _squash_sql = lambda e: " + ".join(f"((({e}) >> {2 * k}) & 1) * {1 << k}" for k in range(16))
 
 
@@ -293,27 +298,66 @@ def _extent(name: str):
 IMAGING.add("P13", lambda s, d: extents(s, d).select("id", *[_extent(n) for n in ("width", "height", "depth", "layers")]), EXTENT_SQL + "SELECT id, w AS width, CASE WHEN kind IN (0, 3) THEN 1 ELSE h END::BIGINT AS height, CASE WHEN kind = 2 THEN third ELSE 1 END::BIGINT AS depth, CASE kind WHEN 3 THEN h WHEN 4 THEN third ELSE 1 END::BIGINT AS layers FROM ex")
 
 
-def _headers(batches):
-    import pyarrow as pa
+def header_bytes(spark, sf_dir):
+    """Headers of made-up extents, as hexadecimal bytes."""
+    one = F.lit(1).cast("long")
+    raw = [(col("w"), 4), (F.when(col("kind") == 0, one).otherwise(col("h")), 4), (F.when(col("kind").isin(2, 4), col("third")).otherwise(one), 4)]
+    side = lambda e: F.log2(e).cast("long")
+    sides = [tiling.super_block_side(col(c)) for c in ("w", "h")]
+    parts = [(F.lit(container.MAGIC), 4), (one, 2), (col("id") % len(container.FORMATS), 2), *((side(e), 1) for e in sides), (col("kind"), 1), *raw, (F.lit(0), 2)]
+    return extents(spark, sf_dir).select("id", B.hex_bytes(parts).alias("head"))
 
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            kind = container.DIMENSIONS[r["kind"]]
-            size = {"D1": (r["w"], 1, 1), "D2": (r["w"], r["h"], 1), "D3": (r["w"], r["h"], r["third"]), "D1Array": (r["w"], r["h"], 1), "D2Array": (r["w"], r["h"], r["third"])}[kind]
-            data = container.write_header(*size, dim=kind, side=(16, 64))
-            back = container.read_header(data)
-            rows.append({"id": r["id"], "bytes": len(data), "head": data[:4].hex(), **{k: back[k] for k in ("width", "height", "depth", "layers", "sbw", "sbh")}})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(k, pa.string() if k == "head" else pa.int64()) for k in rows[0]])) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([]))
 
+def header_fields(head):
+    """Fields of a header's hexadecimal bytes, by name; null where the magic number is another."""
+    at = lambda i, n: F.when(B.number_at(head, 0, 4) == container.MAGIC, B.number_at(head, i, n))
+    kind, sizes = at(10, 1), [at(i, 4) for i in (11, 15, 19)]
+    one = F.lit(1).cast("long")
+    return {
+        "levels": at(4, 2),
+        "format": F.element_at(F.array(*map(F.lit, container.FORMATS)), at(6, 2).cast("int") + 1),
+        "sbw": F.pow(F.lit(2.0), at(8, 1)).cast("long"),
+        "sbh": F.pow(F.lit(2.0), at(9, 1)).cast("long"),
+        "dim": F.element_at(F.array(*map(F.lit, container.DIMENSIONS)), kind.cast("int") + 1),
+        "width": sizes[0],
+        "height": F.when(kind.isin(0, 3), one).otherwise(sizes[1]),
+        "depth": F.when(kind == 2, sizes[2]).otherwise(one),
+        "layers": F.when(kind == 3, sizes[1]).when(kind == 4, sizes[2]).otherwise(one),
+    }
+
+
+_extent_sql = {"width": "w", "height": "CASE WHEN kind IN (0, 3) THEN 1 ELSE h END::BIGINT", "depth": "CASE WHEN kind = 2 THEN third ELSE 1 END::BIGINT", "layers": "CASE kind WHEN 3 THEN h WHEN 4 THEN third ELSE 1 END::BIGINT"}
+_format_sql = "CASE id % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(container.FORMATS)) + " END"
+_dim_sql = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(container.DIMENSIONS)) + " END"
+
+
+def _headers(spark, sf_dir):
+    d = header_bytes(spark, sf_dir)
+    got = header_fields(col("head"))
+    return d.select("id", "head", *[got[k].alias(k) for k in ("levels", "width", "height", "depth", "layers", "sbw", "sbh", "dim")])
+
+
+_hex_le = lambda e, n: " || ".join(f"printf('%02X', (CAST({e} AS BIGINT) >> {8 * i}) & 255)" for i in range(n))
+_head_sql = " || ".join(["'4A4B4C49' || '0100'", _hex_le("id % 6", 2), *(_hex_le(f"log2({_side(c)})", 1) for c in "wh"), _hex_le("kind", 1), _hex_le("w", 4), _hex_le("CASE WHEN kind = 0 THEN 1 ELSE h END", 4), _hex_le("CASE WHEN kind IN (2, 4) THEN third ELSE 1 END", 4), "'0000'"])
+IMAGING.add("P14", _headers, EXTENT_SQL + f"SELECT id, {_head_sql} AS head, 1::BIGINT AS levels, " + ", ".join(f"{e} AS {n}" for n, e in _extent_sql.items()) + f", {_side('w')} AS sbw, {_side('h')} AS sbh, {_dim_sql} AS dim FROM ex")
 
-IMAGING.add("P14", lambda s, d: extents(s, d).mapInArrow(_headers, "id long, bytes long, head string, width long, height long, depth long, layers long, sbw long, sbh long"), EXTENT_SQL + "SELECT id, 26::BIGINT AS bytes, '4a4b4c49' AS head, w AS width, CASE WHEN kind IN (0, 3) THEN 1 ELSE h END::BIGINT AS height, CASE WHEN kind = 2 THEN third ELSE 1 END::BIGINT AS depth, CASE kind WHEN 3 THEN h WHEN 4 THEN third ELSE 1 END::BIGINT AS layers, 16::BIGINT AS sbw, 64::BIGINT AS sbh FROM ex")
-IMAGING.add(
-    "P15",
-    lambda s, d: graph.blank(s, 30, 20).join(pixels(s, d).where("image_id = 0 and x < 30 and y < 20 and x = y").select("x", "y", col("r").alias("r_new")), ["x", "y"], "left").select("x", "y", F.coalesce("r_new", "r").alias("r"), "g", "b", "a"),
-    GRID_SQL + "SELECT cx AS x, cy AS y, coalesce((SELECT r FROM px WHERE image_id = 0 AND x = cx AND y = cy AND x = y), 0) AS r, 0::BIGINT AS g, 0::BIGINT AS b, 255::BIGINT AS a FROM range(30) a(cx), range(20) b(cy)",
-)
-IMAGING.add("P16", lambda s, d: extents(s, d).select("id", F.lit("BC1").alias("format"), "w", "h"), EXTENT_SQL + "SELECT id, 'BC1' AS format, w, h FROM ex")
+
+def _filled(spark, sf_dir):
+    """Images filled with one colour in which the pixels of one diagonal in eight are set."""
+    p = pixels(spark, sf_dir)
+    blank = p.select(*KEYS, F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("b"), F.lit(255).cast("long").alias("a"))
+    return graph.put(blank, p.where((col("x") + col("y")) % 8 == 0).select(*KEYS, *RGBA), RGBA)
+
+
+IMAGING.add("P15", _filled, GRID_SQL + "SELECT image_id, x, y, " + ", ".join(f"CASE WHEN (x + y) % 8 = 0 THEN {c} ELSE {v} END::BIGINT AS {c}" for c, v in zip(RGBA, (0, 0, 0, 255), strict=True)) + " FROM px")
+
+
+def _accessors(spark, sf_dir):
+    got = header_fields(col("head"))
+    return header_bytes(spark, sf_dir).select("id", *[got[k].alias(k) for k in ("format", "width", "height", "depth", "layers")])
+
+
+IMAGING.add("P16", _accessors, EXTENT_SQL + f"SELECT id, {_format_sql} AS format, " + ", ".join(f"{e} AS {n}" for n, e in _extent_sql.items()) + " FROM ex")
 
 # ---- block decoding -------------------------------------------------------
 
@@ -327,10 +371,8 @@ def u_cols(n: int) -> list:
     return [col(f"u{i}") for i in range(n)]
 
 
-def texels(df, decoded, channels: str | None, digits: int = 9):
-    d = df.select("block_id", F.posexplode(decoded).alias("k", "t"))
-    cols = [F.round(col("t")[c], digits).alias(c) for c in channels] if channels else [F.round("t", digits).alias("v")]
-    return d.select("block_id", col("k").cast("long"), *cols)
+def texels(decoded, channels: str, digits: int = 9):
+    return decoded.select("block_id", "k", *[F.round(c, digits).alias(c) for c in channels])
 
 
 def _un565(c: str) -> list[str]:
@@ -388,16 +430,16 @@ bytes_query("C09", [*VALUE_BYTES, *COLOUR_BYTES])
 bytes_query("C12", VALUE_BYTES)
 bytes_query("C15", [*VALUE_BYTES, *[(f"t{i}", 1) for i in range(6)]])
 _cs = dict(zip(RGB, colour_sql(), strict=True))
-IMAGING.add("C02", lambda s, d: texels(packed_blocks(s, d), B.decode_bc1(col("c0"), col("c1"), t_cols(4)), RGB), select_sql(IX2, _cs, "ix"))
-IMAGING.add("C03", lambda s, d: texels(packed_blocks(s, d), B.decode_bc1(col("c0"), col("c1"), t_cols(4), alpha=True), RGBA), select_sql(IX2, _cs | {"a": "CASE WHEN c0 <= c1 AND i = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"}, "ix"))
+IMAGING.add("C02", lambda s, d: texels(B.decode_bc1(packed_blocks(s, d), col("c0"), col("c1"), t_cols(4)), RGB), select_sql(IX2, _cs, "ix"))
+IMAGING.add("C03", lambda s, d: texels(B.decode_bc1(packed_blocks(s, d), col("c0"), col("c1"), t_cols(4), alpha=True), RGBA), select_sql(IX2, _cs | {"a": "CASE WHEN c0 <= c1 AND i = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"}, "ix"))
 _byte_of = " ".join(f"WHEN {i} THEN u{i}" for i in range(8))
 _alpha4 = f"CAST(((CASE k // 2 {_byte_of} END) >> (4 * (k % 2))) & 15 AS DOUBLE) / 15.0::DOUBLE"
-IMAGING.add("C07", lambda s, d: texels(packed_blocks(s, d), B.decode_bc2(col("c0"), col("c1"), t_cols(4), u_cols(8)), RGBA), select_sql(IX2, dict(zip(RGB, colour_sql(True), strict=True)) | {"a": _alpha4}, "ix"))
-IMAGING.add("C10", lambda s, d: texels(packed_blocks(s, d), B.decode_bc3(col("c0"), col("c1"), t_cols(4), col("d0"), col("d1"), u_cols(6)), RGBA), select_sql(IX2, _cs | {"a": value_sql("d0", "d1", "u")}, "ix"))
-IMAGING.add("C13", lambda s, d: texels(packed_blocks(s, d), B.decode_bc4(col("d0"), col("d1"), u_cols(6)), None), select_sql(" ", {"v": value_sql("d0", "d1", "u")}, "tk"))
+IMAGING.add("C07", lambda s, d: texels(B.decode_bc2(packed_blocks(s, d), col("c0"), col("c1"), t_cols(4), u_cols(8)), RGBA), select_sql(IX2, dict(zip(RGB, colour_sql(True), strict=True)) | {"a": _alpha4}, "ix"))
+IMAGING.add("C10", lambda s, d: texels(B.decode_bc3(packed_blocks(s, d), col("c0"), col("c1"), t_cols(4), col("d0"), col("d1"), u_cols(6)), RGBA), select_sql(IX2, _cs | {"a": value_sql("d0", "d1", "u")}, "ix"))
+IMAGING.add("C13", lambda s, d: texels(B.decode_bc4(packed_blocks(s, d), col("d0"), col("d1"), u_cols(6)), "v"), select_sql(" ", {"v": value_sql("d0", "d1", "u")}, "tk"))
 IMAGING.add(
     "C16",
-    lambda s, d: texels(packed_blocks(s, d), B.decode_bc5((col("d0"), col("d1"), u_cols(6)), (col("d1"), col("d0"), t_cols(6))), "rg"),
+    lambda s, d: texels(B.decode_bc5(packed_blocks(s, d), (col("d0"), col("d1"), u_cols(6)), (col("d1"), col("d0"), t_cols(6))), "rg"),
     select_sql(" ", {"r": value_sql("d0", "d1", "u"), "g": value_sql("d1", "d0", "t")}, "tk"),
 )
 
@@ -525,13 +567,32 @@ def _searched(spark, sf_dir):
     return d.groupBy("tile_id").agg(F.min(F.struct("error", "cut", "hi", "lo")).alias("m")).select("tile_id", col("m")["hi"].alias("hi"), col("m")["lo"].alias("lo"), col("m")["error"].alias("error"))
 
 
-IMAGING.add("K10", _searched)
+_level = lambda e: f"CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {e})) * 255.0::DOUBLE) AS BIGINT)"
+SEARCHED_SQL = SOLVED_SQL + (
+    f", qe AS (SELECT tile_id, s, p0, p1, p2, {_level('e0')} AS qa, {_level('e1')} AS qb FROM sv), "
+    "od AS (SELECT tile_id, s, p0, p1, p2, greatest(qa, CASE WHEN qa = qb THEN 255 - qa ELSE qb END) AS hi, least(qa, CASE WHEN qa = qb THEN 255 - qa ELSE qb END) AS lo FROM qe), "
+    "er AS (SELECT *, round(list_sum(list_transform(s, lambda v: least("
+    + ", ".join(f"abs(v - (hi / 255.0::DOUBLE * (1 - {i} / 3.0::DOUBLE) + lo / 255.0::DOUBLE * ({i} / 3.0::DOUBLE)))" for i in range(4))
+    + "))), 6) AS error FROM od), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY error, p0, p1, p2) AS place FROM er) "
+    "SELECT tile_id, hi, lo, error FROM rk WHERE place = 1"
+)
+IMAGING.add("K10", _searched, SEARCHED_SQL)
 IMAGING.add("K11", lambda s, d: encode.encode_bc1(tiling.tiles(smooth_pixels(s, d), RGB)))
 
 # ---- sources and sinks ----------------------------------------------------
 
-IMAGING.add("S01", lambda s, d: images.to_pixels(images.to_rows(rgb(s, d), RGB)).drop("a"), GRID_SQL + "SELECT image_id, x, y, r, g, b FROM px")
-IMAGING.add("S02", lambda s, d: images.to_pixels(images.to_rows(rgba(s, d), RGBA)), GRID_SQL + "SELECT image_id, x, y, r, g, b, a FROM px")
+
+
+def _through_files(spark, pixels_of, channels):
+    """Pixels written as image files and read back."""
+    path = scratch(spark)
+    images.write_images(images.to_rows(pixels_of, channels), path)
+    return images.to_pixels(images.read_images(spark, path))
+
+
+IMAGING.add("S01", lambda s, d: _through_files(s, rgb(s, d), RGB).drop("a"), GRID_SQL + "SELECT image_id, x, y, r, g, b FROM px")
+IMAGING.add("S02", lambda s, d: _through_files(s, rgba(s, d), RGBA), GRID_SQL + "SELECT image_id, x, y, r, g, b, a FROM px")
 
 
 def _source_node(spark, sf_dir):
@@ -540,11 +601,52 @@ def _source_node(spark, sf_dir):
 
 
 IMAGING.add("S03", _source_node, GRID_SQL + "SELECT image_id, x, y, r, g, b FROM px")
-IMAGING.add("S04", lambda s, d: images.reload(s, f"{d}/no-such-folder", rgb(s, d)), GRID_SQL + "SELECT image_id, x, y, r, g, b FROM px")
+
+
+def _reloaded(spark, sf_dir):
+    """A path that is missing keeps the old images; one that holds some replaces them."""
+    old = images.reload(spark, f"{sf_dir}/no-such-folder", images.to_rows(rgba(spark, sf_dir), RGBA))
+    path = scratch(spark)
+    images.write_images(images.to_rows(rgb(spark, sf_dir), RGB), path)
+    kept, fresh = images.to_pixels(old), images.to_pixels(images.reload(spark, path, old))
+    return kept.withColumn("of", F.lit("kept")).union(fresh.withColumn("of", F.lit("fresh")))
+
+
+IMAGING.add("S04", _reloaded, GRID_SQL + "SELECT image_id, x, y, r, g, b, a, 'kept' AS of FROM px UNION ALL SELECT image_id, x, y, r, g, b, NULL AS a, 'fresh' AS of FROM px")
+
+#: Rows of blocks in a plane when images are cut into textures of several planes.
+PLANE_ROWS = 5
+
+
+def layered_blocks(spark, sf_dir):
+    """Images cut into planes of PLANE_ROWS rows of blocks: layers of even images, depth of odd ones. Rows beyond the last whole plane are left out."""
+    d = block_rows(spark, sf_dir)
+    planes = F.floor(F.ceil(col("height") / 4) / PLANE_ROWS)
+    d = d.withColumns({"z": F.floor(col("by") / PLANE_ROWS), "planes": planes, "dim": F.when(col("image_id") % 2 == 0, "D2Array").otherwise("D3")}).where("z < planes")
+    return d.withColumns({"by": col("by") % PLANE_ROWS, "height": F.lit(4 * PLANE_ROWS)})
+
+
+LAYERED_SQL = GRID_SQL + CELLS_SQL + (
+    ", e AS (SELECT image_id, bx, by, any_value((width + 3) // 4) AS bw, any_value((height + 3) // 4) AS bh, max(CASE WHEN k = 0 THEN r END) * 200 AS c0, max(CASE WHEN k = 15 THEN g END) * 199 AS c1, "
+    + ", ".join(f"max(CASE WHEN k = {4 * i + 1} THEN b END) AS t{i}" for i in range(4))
+    + f" FROM tx GROUP BY image_id, bx, by), la AS (SELECT image_id, by // {PLANE_ROWS} AS z, bx, by % {PLANE_ROWS} AS by, c0, c1, t0, t1, t2, t3, bw, bh // {PLANE_ROWS} AS planes, {_side('bw')} AS sw FROM e WHERE by // {PLANE_ROWS} < bh // {PLANE_ROWS}), "
+    "su AS (SELECT image_id, z, bx // sw AS sx, any_value(bw) AS bw, any_value(planes) AS planes, any_value(sw) AS sw, count(*) AS n_blocks FROM la GROUP BY ALL) "
+)
+
+
+def layered(spark, sf_dir):
+    return container.pack(layered_blocks(spark, sf_dir))
 
 
 def _file_rows(spark, sf_dir):
-    return container.files(packed(spark, sf_dir))
+    return container.files(layered(spark, sf_dir))
+
+
+def _stored(spark, sf_dir):
+    """Super-blocks written to a store and read back."""
+    path = scratch(spark)
+    container.write(layered(spark, sf_dir), path)
+    return container.read_files(spark, path)
 
 
 def _header_rows(batches):
@@ -552,18 +654,39 @@ def _header_rows(batches):
 
     for batch in batches:
         heads = [container.read_header(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"image_id": batch.column(0)} | {k: pa.array([h[k] for h in heads], pa.int64()) for k in ("levels", "width", "height", "sbw", "sbh")})
+        yield pa.RecordBatch.from_pydict({"image_id": batch.column(0)} | {k: pa.array([h[k] for h in heads], pa.int64()) for k in ("levels", "width", "height", "depth", "layers", "sbw", "sbh")} | {k: pa.array([h[k] for h in heads], pa.string()) for k in ("format", "dim")})
 
 
-SUPER_SQL = BLOCK_CELLS_SQL + ", su AS (SELECT DISTINCT image_id, by // sh AS sy, bx // sw AS sx, sw, sh, bw, bh FROM sb)"
-IMAGING.add("S05", lambda s, d: _file_rows(s, d).mapInArrow(_header_rows, "image_id long, levels long, width long, height long, sbw long, sbh long"), BLOCK_CELLS_SQL + "SELECT DISTINCT image_id, 1::BIGINT AS levels, bw AS width, bh AS height, sw AS sbw, sh AS sbh FROM sb")
-IMAGING.add("S06", lambda s, d: container.parse(_file_rows(s, d)).select("image_id", "sy", "sx", "n_blocks"), SUPER_SQL + "SELECT image_id, sy, sx, least(sw, bw - sx * sw) * least(sh, bh - sy * sh) AS n_blocks FROM su")
-_p10 = IMAGING.oracles["P10"]
-IMAGING.add("S07", lambda s, d: container.unpack(container.parse(_file_rows(s, d))), _p10)
-IMAGING.add("S08", lambda s, d: container.unpack(container.parse(_file_rows(s, d)).where("sx = 1 and sy = 0")), f"SELECT * FROM ({_p10}) WHERE bx >= 16 AND bx < 32 AND by < 16")
-IMAGING.add("S09", lambda s, d: _file_rows(s, d).select("image_id", F.hex(F.substring("data", 1, 26)).alias("header")))
-IMAGING.add("S10", lambda s, d: container.with_offsets(packed(s, d)).select("image_id", "sy", "sx", "offset"))
-IMAGING.add("S11", lambda s, d: _file_rows(s, d).select("image_id", F.hex(F.substring("data", 1, 4)).alias("magic"), F.length("data").cast("long").alias("bytes")))
+IMAGING.add(
+    "S05",
+    lambda s, d: _file_rows(s, d).mapInArrow(_header_rows, "image_id long, levels long, width long, height long, depth long, layers long, sbw long, sbh long, format string, dim string"),
+    LAYERED_SQL + f"SELECT DISTINCT image_id, 1::BIGINT AS levels, bw AS width, {PLANE_ROWS}::BIGINT AS height, CASE image_id % 2 WHEN 0 THEN 1 ELSE planes END::BIGINT AS depth, CASE image_id % 2 WHEN 0 THEN planes ELSE 1 END::BIGINT AS layers, sw AS sbw, 16::BIGINT AS sbh, 'BC1' AS format, CASE image_id % 2 WHEN 0 THEN 'D2Array' ELSE 'D3' END AS dim FROM su",
+)
+IMAGING.add("S06", lambda s, d: container.parse(_file_rows(s, d)).select("image_id", "z", "sy", "sx", "n_blocks"), LAYERED_SQL + "SELECT image_id, z, 0::BIGINT AS sy, sx, n_blocks FROM su")
+_layered_cols = "image_id, z, bx, by, c0, c1, t0, t1, t2, t3"
+IMAGING.add("S07", lambda s, d: container.unpack(container.parse(_file_rows(s, d))), LAYERED_SQL + f"SELECT {_layered_cols} FROM la")
+IMAGING.add("S08", lambda s, d: container.unpack(container.parse(_file_rows(s, d)).where("sx = 1 and z = 1")), LAYERED_SQL + f"SELECT {_layered_cols} FROM la WHERE bx >= 16 AND bx < 32 AND z = 1")
+IMAGING.add("S09", lambda s, d: container.unpack(_stored(s, d)), LAYERED_SQL + f"SELECT {_layered_cols} FROM la")
+
+
+def _offsets(spark, sf_dir):
+    """The offsets in the files beside those of the payloads' lengths."""
+    packed_rows = container.with_offsets(layered(spark, sf_dir)).select("image_id", "z", "sy", "sx", "offset")
+    every = Window.partitionBy("image_id").orderBy("z", "sy", "sx")
+    rows = packed_rows.withColumn("k", F.row_number().over(every) - 1)
+    at = (F.lit(container.HEADER_BYTES + 1) + col("k") * container.OFFSET_BYTES).cast("int")
+    little = lambda i: F.conv(F.hex(F.substring("data", at + i, F.lit(1))), 16, 10).cast("long") * (1 << 8 * i)
+    d = rows.join(_file_rows(spark, sf_dir), "image_id").withColumn("stored", sum((little(i) for i in range(1, 7)), little(0)))
+    return d.select("image_id", "z", "sy", "sx", F.when(col("k") == 0, col("stored")).alias("first"), (col("stored") == col("offset")).alias("as_written"))
+
+
+IMAGING.add("S10", _offsets, LAYERED_SQL + "SELECT image_id, z, 0::BIGINT AS sy, sx, CASE WHEN z = 0 AND sx = 0 THEN 26 + 8 * count(*) OVER (PARTITION BY image_id) END AS first, true AS as_written FROM su")
+_le = lambda e, n: " || ".join(f"printf('%02X', (({e}) >> {8 * i}) & 255)" for i in range(n))
+IMAGING.add(
+    "S11",
+    lambda s, d: _file_rows(s, d).select("image_id", F.hex(F.substring("data", 1, container.HEADER_BYTES + container.OFFSET_BYTES)).alias("head")),
+    LAYERED_SQL + f"SELECT image_id, '4A4B4C49' || '0100' || '0000' || printf('%02X', CAST(log2(any_value(sw)) AS INTEGER)) || '04' || CASE image_id % 2 WHEN 0 THEN '0400' ELSE '0200' END || {_le('any_value(bw)', 4)} || {_le(str(PLANE_ROWS), 4)} || {_le('any_value(planes)', 4)} || '0000' || {_le('26 + 8 * count(*)', 8)} AS head FROM su GROUP BY image_id",
+)
 
 
 def _pipeline(spark, sf_dir, names: tuple[str, ...], grid=None) -> graph.Graph:
@@ -631,25 +754,17 @@ IMAGING.add("X04", lambda s, d: coders.code_streams(streams(s, d)).select("strea
 IMAGING.add("X05", lambda s, d: coders.code_streams(streams(s, d)).select("stream_id", "lz78_bytes", "lzw_bytes"))
 
 
-def _bits(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        out = []
-        for n in batch.column(0).to_pylist():
-            w = coders.BitWriter()
-            for v, b in ((n, 21), (n % 7, 3), (n * 5 % 4096, 12)):
-                w.write(v, b)
-            r = coders.BitReader(w.bytes())
-            out.append((n, w.bytes().hex().upper(), r.read(21), r.read(3), r.read(12)))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for k, c, t in zip(("id", "data", "a", "b", "c"), cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
+def _bits(spark, sf_dir):
+    n = col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(n.alias("id"), coders.code_bits([(n, 21), (n % 7, 3), (n * 5 % 4096, 12)]).alias("v"))
+    a, b, c = coders.read_bits(col("v"), [21, 3, 12])
+    return d.select("id", B.hex_bytes([(col("v"), 5)]).alias("data"), a.alias("a"), b.alias("b"), c.alias("c"))
 
 
 _whole = "(o_orderkey + (o_orderkey % 7) * 2097152 + (o_orderkey * 5 % 4096) * 16777216)"
 _bits_sql = "SELECT o_orderkey AS id, " + " || ".join(f"printf('%02X', ({_whole} >> {8 * i}) & 255)" for i in range(5)) + " AS data, o_orderkey AS a, o_orderkey % 7 AS b, o_orderkey * 5 % 4096 AS c FROM orders"
 for _name in ("X01", "X02"):
-    IMAGING.add(_name, lambda s, d: table(s, d, "orders").select("o_orderkey").mapInArrow(_bits, "id long, data string, a long, b long, c long"), _bits_sql)
+    IMAGING.add(_name, _bits, _bits_sql)
 IMAGING.add("X03", lambda s, d: table(s, d, "orders").select("o_orderkey", B.hex_bytes([(col("o_orderkey"), 4), (col("o_custkey"), 8)]).alias("data")), "SELECT o_orderkey, " + " || ".join([f"printf('%02X', (o_orderkey >> {8 * i}) & 255)" for i in range(4)] + [f"printf('%02X', (o_custkey >> {8 * i}) & 255)" for i in range(8)]) + " AS data FROM orders")
 
 
@@ -669,8 +784,8 @@ def end_to_end(spark, sf_dir):
     """Pixels to tiles, encoded, decoded, stitched: each image's error and sizes."""
     p = smooth_pixels(spark, sf_dir).select(*KEYS, *RGB)
     blocks = encode.encode_bc1(tiling.tiles(p, RGB))
-    decoded = F.transform(B.decode_bc1(col("c0"), col("c1"), t_cols(4)), lambda t: F.struct(*[C.quantise(t[c]).alias(c) for c in RGB]))
-    back = tiling.stitch(blocks.select("image_id", "bx", "by", "width", "height", decoded.alias("texels")))
+    back = tiling.place(B.decode_bc1(blocks, col("c0"), col("c1"), t_cols(4)).select("image_id", "bx", "by", "width", "height", "k", *RGB))
+    back = back.select(*KEYS, *[C.quantise(col(c)).alias(c) for c in RGB])
     err = statistics.image_error(p, back)
     return err.select("image_id", "pixels", F.round("error", 5).alias("error"), (F.ceil(col("pixels") / 2)).alias("bytes_at_4_bits"))
 

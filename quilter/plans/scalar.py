@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quilter.functions import colour as C
@@ -128,17 +129,40 @@ def _swizzled(v: dict[str, object], order: str):
     return [v[c] for c in order]
 
 
-over_pixels(
-    "M06",
-    lambda: {"swizzled": F.round(sum((V.swizzle(P(), o)[a] * (i * 7 + j + 1) for i, o in enumerate(_orders) for j, a in enumerate(V.AXES[: len(o)]) if i % 16 == 0), F.lit(0.0)), 6)}
-    | {f"sw_{o}": F.round(V.swizzle(P(), o)["x"] - V.swizzle(P(), o)[V.AXES[len(o) - 1]], 9) for o in _orders if len(o) == 2}
-    | vec_cols("zyx", V.swizzle(P(), "zyx"), 3)
-    | vec_cols("wwxy", V.swizzle(P(), "wwxy"), 4),
-    {"swizzled": "round(" + "+".join(f"{SP['xyzw'.index(c)]} * {i * 7 + j + 1}" for i, o in enumerate(_orders) for j, c in enumerate(o) if i % 16 == 0) + ", 6)"}
-    | {f"sw_{o}": f"round({SP['xyzw'.index(o[0])]} - {SP['xyzw'.index(o[-1])]}, 9)" for o in _orders if len(o) == 2}
-    | vec_sql("zyx", [SP[2], SP[1], SP[0]])
-    | vec_sql("wwxy", [SP[3], SP[3], SP[0], SP[1]]),
-)
+def _weighed(part: int, column: int) -> list[tuple[str, int, int]]:
+    """(order, component, weight) of the orders of one column of one part: between them, part and column name every order."""
+    return [(o, j, i * 7 + j + 1) for i, o in enumerate(_orders) if i % 16 == 4 * part + column for j in range(len(o))]
+
+
+def _total(terms: list[Column]) -> Column:
+    """Their sum, as a tree of least depth."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) - len(terms) % 2 :]
+    return terms[0]
+
+
+def _swizzles(spark, sf_dir):
+    """Sums over all 336 orders in four parts of four columns (one part is as much as compiles to one method), and all orders of two."""
+    d, v, parts = pixels(spark, sf_dir).select(*KEYS, P().alias("v")), col("v"), []
+    for p in range(4):
+        sums = {f"swizzled_{k}": F.round(_total([V.swizzle(v, o)[V.AXES[j]] * w for o, j, w in _weighed(p, k)]), 6) for k in range(4)}
+        twos = {f"sw_{k}": F.round(V.swizzle(v, o)["x"] - V.swizzle(v, o)["y"], 9) for k, o in enumerate(x for i, x in enumerate(o for o in _orders if len(o) == 2) if i % 4 == p)}
+        cols = sums | twos | vec_cols("zyx", V.swizzle(v, "zyx"), 3) | vec_cols("wwxy", V.swizzle(v, "wwxy"), 4)
+        parts.append(d.select(*KEYS, F.lit(p).cast("long").alias("part"), *[c.alias(n) for n, c in cols.items()]))
+    return reduce(DataFrame.union, parts)
+
+
+def _swizzles_sql() -> str:
+    parts = []
+    for p in range(4):
+        cols = {f"swizzled_{k}": "round(" + " + ".join(f"{SP['xyzw'.index(o[j])]} * {w}" for o, j, w in _weighed(p, k)) + ", 6)" for k in range(4)}
+        cols |= {f"sw_{k}": f"round({SP['xyzw'.index(o[0])]} - {SP['xyzw'.index(o[1])]}, 9)" for k, o in enumerate(x for i, x in enumerate(o for o in _orders if len(o) == 2) if i % 4 == p)}
+        cols |= vec_sql("zyx", [SP[2], SP[1], SP[0]]) | vec_sql("wwxy", [SP[3], SP[3], SP[0], SP[1]])
+        parts.append(f"SELECT image_id, x, y, {p}::BIGINT AS part, " + ", ".join(f"{e} AS {n}" for n, e in cols.items()) + " FROM px")
+    return GRID_SQL + " UNION ALL ".join(parts)
+
+
+SCALAR.add("M06", _swizzles, _swizzles_sql())
 over_pixels(
     "M07",
     lambda: vec_cols("with_z", V.extend(V.vec(*NP()[:2]), 2, NQ()[2]), 3) | vec_cols("with_zw", V.extend(V.vec(*NP()[:2]), 2, NQ()[2], NQ()[3]), 4) | vec_cols("with_w", V.extend(V.vec(*NP()[:3]), 3, NQ()[3]), 4),

@@ -2,11 +2,10 @@
 
 Layout (little-endian): magic, levels, format, exponents of the super-block's sides, dimensions,
 three sizes and two spare bytes, 26 in all; for each super-block, in order of z, y, x, the absolute
-offset of its payload; the payloads. A payload holds all first ends of the super-block's blocks in row
-order, then all second ends, then all index bytes, under Brotli.
+offset of its payload; the payloads. z counts slices of depth or layers; lines of a ``D1Array`` lie along y. A payload holds all first ends of the super-block's blocks in row
+order, then all second ends, then all index bytes, under Brotli. Files of one level of BC1 blocks are read, others refused.
 
-Packing makes one shuffle by super-block; readers get files through Spark's binaryFile source, so any
-store will do, and super-blocks can be read one by one by their offsets.
+Packing makes one shuffle by super-block; files go to and come from any store, and super-blocks can be read one by one by their offsets.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quilter.operators.tiling import in_super_blocks
+from quilter.sources.store import write_files
 
 MAGIC, HEADER_BYTES, OFFSET_BYTES, BLOCK_BYTES = 0x494C4B4A, 26, 8, 8
 #: Codes of formats and of dimensions in the header (fixed values).
@@ -28,6 +28,7 @@ FORMATS = ("BC1", "BC3", "BC4", "BC5", "BC6", "BC7")
 DIMENSIONS = ("D1", "D2", "D3", "D1Array", "D2Array")
 HEADER = "<IHHBBHIII"
 ROWS = ["t0", "t1", "t2", "t3"]
+SUFFIX = ".jkl"
 
 
 class HeaderError(ValueError):
@@ -70,6 +71,11 @@ def extent(kind: str, size: list[int]) -> dict:
     return {"width": w, "height": 1 if flat else second, "depth": third if kind == "D3" else 1, "layers": layers}
 
 
+def raw_size(head: dict) -> tuple[int, int, int]:
+    """Blocks along x, y and z of a header's extent."""
+    return head["width"], head["layers"] if head["dim"] == "D1Array" else head["height"], {"D3": head["depth"], "D2Array": head["layers"]}.get(head["dim"], 1)
+
+
 def shred(c0: np.ndarray, c1: np.ndarray, texels: np.ndarray) -> bytes:
     """Aspects of blocks one after another."""
     return c0.astype("<u2").tobytes() + c1.astype("<u2").tobytes() + texels.astype(np.uint8).tobytes()
@@ -90,24 +96,29 @@ def _pack(table: pa.Table) -> pa.Table:
     raw = shred(get("c0"), get("c1"), np.stack([get(t) for t in ROWS], axis=1))
     payload = _codec().compress(raw, asbytes=True)
     first = lambda c: table.column(c)[0].as_py()
-    keys = ("image_id", "sy", "sx", "sbw", "sbh", "blocks_wide", "blocks_high")
-    return pa.table({k: pa.array([first(k)], pa.int64()) for k in keys} | {"n_blocks": pa.array([table.num_rows], pa.int64()), "payload": pa.array([payload], pa.binary())})
+    keys = ("image_id", "z", "sy", "sx", "sbw", "sbh", "blocks_wide", "blocks_high", "planes")
+    return pa.table({k: pa.array([first(k)], pa.int64()) for k in keys} | {"dim": pa.array([first("dim")], pa.string()), "n_blocks": pa.array([table.num_rows], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
 
-PACKED = "image_id long, sy long, sx long, sbw long, sbh long, blocks_wide long, blocks_high long, n_blocks long, payload binary"
+PACKED = "image_id long, z long, sy long, sx long, sbw long, sbh long, blocks_wide long, blocks_high long, planes long, dim string, n_blocks long, payload binary"
 
 
 def pack(blocks: DataFrame) -> DataFrame:
-    """Blocks (image_id, bx, by, width, height in pixels, c0, c1, t0..t3) to one row for each super-block, with its payload."""
-    d = blocks.withColumns({"blocks_wide": F.ceil(F.col("width") / 4).cast("long"), "blocks_high": F.ceil(F.col("height") / 4).cast("long")})
-    d = in_super_blocks(d).select("image_id", *[F.col(c).cast("long").alias(c) for c in ("sy", "sx", "sbw", "sbh", "blocks_wide", "blocks_high", "rank", "c0", "c1", *ROWS)])
-    return d.groupBy("image_id", "sy", "sx").applyInArrow(_pack, PACKED)
+    """Blocks (image_id, bx, by, width, height in pixels, c0, c1, t0..t3) to one row for each super-block, with its payload.
+
+    Textures of several planes also have z, planes (their number) and dim, of ``DIMENSIONS``; else blocks are those of one ``D2`` plane.
+    """
+    default = {"z": F.lit(0), "planes": F.lit(1), "dim": F.lit("D2")}
+    d = blocks.withColumns({c: v for c, v in default.items() if c not in blocks.columns})
+    d = d.withColumns({"blocks_wide": F.ceil(F.col("width") / 4).cast("long"), "blocks_high": F.ceil(F.col("height") / 4).cast("long")})
+    d = in_super_blocks(d).select("image_id", "dim", *[F.col(c).cast("long").alias(c) for c in ("z", "sy", "sx", "sbw", "sbh", "blocks_wide", "blocks_high", "planes", "rank", "c0", "c1", *ROWS)])
+    return d.groupBy("image_id", "z", "sy", "sx").applyInArrow(_pack, PACKED)
 
 
 def with_offsets(packed: DataFrame) -> DataFrame:
     """Adds each payload's absolute offset in its image's file."""
     every = Window.partitionBy("image_id")
-    before = every.orderBy("sy", "sx").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.orderBy("z", "sy", "sx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.lit(HEADER_BYTES) + F.count("*").over(every) * OFFSET_BYTES
     return packed.withColumn("offset", start + F.coalesce(F.sum(F.length("payload")).over(before), F.lit(0)))
 
@@ -120,22 +131,25 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c0, c1, t = unshred(raw, n)
             wide = min(row["sbw"], row["blocks_wide"] - row["sx"] * row["sbw"])
             k = np.arange(n)
-            cols = {"image_id": np.full(n, row["image_id"]), "bx": row["sx"] * row["sbw"] + k % wide, "by": row["sy"] * row["sbh"] + k // wide, "c0": c0, "c1": c1}
+            cols = {"image_id": np.full(n, row["image_id"]), "z": np.full(n, row["z"]), "bx": row["sx"] * row["sbw"] + k % wide, "by": row["sy"] * row["sbh"] + k // wide, "c0": c0, "c1": c1}
             yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in (cols | {r: t[:, i] for i, r in enumerate(ROWS)}).items()})
 
 
-BLOCKS = "image_id long, bx long, by long, c0 long, c1 long, t0 long, t1 long, t2 long, t3 long"
+BLOCKS = "image_id long, z long, bx long, by long, c0 long, c1 long, t0 long, t1 long, t2 long, t3 long"
 
 
 def unpack(packed: DataFrame) -> DataFrame:
     """Super-blocks back to blocks. Filter the rows first to read only some super-blocks."""
-    return packed.select("image_id", "sy", "sx", "sbw", "sbh", "blocks_wide", "n_blocks", "payload").mapInArrow(_unpack, BLOCKS)
+    return packed.select("image_id", "z", "sy", "sx", "sbw", "sbh", "blocks_wide", "n_blocks", "payload").mapInArrow(_unpack, BLOCKS)
 
 
 def _file(table: pa.Table) -> pa.Table:
-    rows = table.sort_by([("sy", "ascending"), ("sx", "ascending")]).to_pylist()
+    rows = table.sort_by([(c, "ascending") for c in ("z", "sy", "sx")]).to_pylist()
     r = rows[0]
-    head = write_header(r["blocks_wide"], r["blocks_high"], side=(r["sbw"], r["sbh"]))
+    across, down = -(-r["blocks_wide"] // r["sbw"]), -(-r["blocks_high"] // r["sbh"])
+    if len(rows) != across * down * r["planes"]:
+        raise ValueError(f"image {r['image_id']} has {len(rows)} super-blocks of {across * down * r['planes']}")
+    head = write_header(r["blocks_wide"], r["blocks_high"], r["planes"], dim=r["dim"], side=(r["sbw"], r["sbh"]))
     at, offsets = HEADER_BYTES + OFFSET_BYTES * len(rows), []
     for x in rows:
         offsets.append(at)
@@ -157,14 +171,20 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for image, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             h = read_header(data)
-            across, down = -(-h["width"] // h["sbw"]), -(-h["height"] // h["sbh"])
-            at = read_offsets(data, across * down)
+            if h["format"] != "BC1" or h["levels"] != 1:
+                raise HeaderError(f"{h['levels']} levels of {h['format']} blocks; one of BC1 is read")
+            wide, high, planes = raw_size(h)
+            across, down = -(-wide // h["sbw"]), -(-high // h["sbh"])
+            if len(data) < HEADER_BYTES + OFFSET_BYTES * across * down * planes:
+                raise HeaderError("the table of offsets is cut off")
+            at = read_offsets(data, across * down * planes)
             rows = []
             for k, (a, b) in enumerate(zip(at, [*at[1:], len(data)], strict=True)):
-                sy, sx = divmod(k, across)
-                n = min(h["sbw"], h["width"] - sx * h["sbw"]) * min(h["sbh"], h["height"] - sy * h["sbh"])
-                rows.append({"image_id": image, "sy": sy, "sx": sx, "sbw": h["sbw"], "sbh": h["sbh"], "blocks_wide": h["width"], "blocks_high": h["height"], "n_blocks": n, "payload": data[a:b]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.binary() if c == "payload" else pa.int64()) for c in rows[0]]))
+                z, sy, sx = k // (across * down), k // across % down, k % across
+                n = min(h["sbw"], wide - sx * h["sbw"]) * min(h["sbh"], high - sy * h["sbh"])
+                rows.append({"image_id": image, "z": z, "sy": sy, "sx": sx, "sbw": h["sbw"], "sbh": h["sbh"], "blocks_wide": wide, "blocks_high": high, "planes": planes, "dim": h["dim"], "n_blocks": n, "payload": data[a:b]})
+            kind = {"payload": pa.binary(), "dim": pa.string()}
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, kind.get(c, pa.int64())) for c in rows[0]]))
 
 
 def parse(file_rows: DataFrame) -> DataFrame:
@@ -172,7 +192,13 @@ def parse(file_rows: DataFrame) -> DataFrame:
     return file_rows.select(F.col("image_id").cast("long"), "data").mapInArrow(_parse, PACKED)
 
 
+def write(packed: DataFrame, path: str) -> list[tuple[str, int]]:
+    """Writes each image's file under ``path`` of any store; (name, bytes) of each."""
+    return write_files(files(packed), "image_id", "data", path, SUFFIX)
+
+
 def read_files(spark, path: str) -> DataFrame:
-    """Super-blocks of files under a path of any store; image_id is a hash of the file's path."""
-    d = spark.read.format("binaryFile").load(path)
-    return parse(d.select(F.xxhash64("path").alias("image_id"), F.col("content").alias("data")))
+    """Super-blocks of files under a path of any store; image_id is the number that names the file, or else a hash of its path."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+    number = F.regexp_extract("path", rf"([0-9]+)\{SUFFIX}$", 1)
+    return parse(d.select(F.when(number != "", number.cast("long")).otherwise(F.xxhash64("path")).alias("image_id"), F.col("content").alias("data")))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quilter.sources.store import write_files
+
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id and the fields of Spark's image source; files that cannot be read are left out."""
+    """image_id and the fields of Spark's image source; files that are no image are left out. image_id is the number that names the file, or else a hash of its path."""
     d = spark.read.format("image").option("dropInvalid", True).load(path)
-    return d.select(F.xxhash64("image.origin").alias("image_id"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+    number = F.regexp_extract("image.origin", r"([0-9]+)\.[A-Za-z]+$", 1)
+    return d.select(F.when(number != "", number.cast("long")).otherwise(F.xxhash64("image.origin")).alias("image_id"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
 
 
 def to_rows(pixels: DataFrame, channels: str = "rgb") -> DataFrame:
@@ -34,10 +44,34 @@ def to_pixels(rows: DataFrame) -> DataFrame:
     return d.select("image_id", (F.col("k") % F.col("width")).alias("x"), F.floor(F.col("k") / F.col("width")).alias("y"), get(2).alias("r"), get(1).alias("g"), get(0).alias("b"), F.when(F.col("channels") == 4, get(3)).alias("a"))
 
 
+def _png(width: int, height: int, channels: int, data: bytes) -> bytes:
+    """A PNG of rows of b, g, r(, a) bytes, without a filter."""
+    px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    px = px[..., [2, 1, 0, 3][:channels]]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), px.reshape(height, -1)], axis=1).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, {3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _pngs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_png(r["width"], r["height"], r["channels"], r["data"]) for r in rows], pa.binary())], ["image_id", "data"])
+
+
+def write_images(rows: DataFrame, path: str) -> list[tuple[str, int]]:
+    """Writes image rows as PNG files, named by image_id, under a path of any store; (name, bytes) of each."""
+    d = rows.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("channels").cast("int"), "data")
+    return write_files(d.mapInArrow(_pngs, "image_id long, data binary"), "image_id", "data", path, ".png")
+
+
 def reload(spark: SparkSession, path: str, old: DataFrame | None) -> DataFrame | None:
-    """The images under path, or the old ones if none can be read."""
+    """The images under path, or the old ones if the path is missing or holds none. Other errors are errors."""
     try:
         new = read_images(spark, path)
-        return new if new.limit(1).count() else old
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return old
+    return old if new.isEmpty() else new

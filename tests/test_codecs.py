@@ -86,21 +86,20 @@ def board(spark):
 
 
 def decoded(df, alpha=False):
-    rows = [F.col(f"t{i}") for i in range(4)]
-    t = blocks.decode_bc1(F.col("c0"), F.col("c1"), rows, alpha)
     names = "rgba" if alpha else "rgb"
-    return df.select("image_id", "bx", "by", "width", "height", F.transform(t, lambda v: F.struct(*[C.quantise(v[c]).alias(c) for c in names])).alias("texels"))
+    t = blocks.decode_bc1(df, F.col("c0"), F.col("c1"), [F.col(f"t{i}") for i in range(4)], alpha)
+    return tiling.place(t.select("image_id", "bx", "by", "width", "height", "k", *[C.quantise(F.col(c)).alias(c) for c in names]))
 
 
 def test_checkerboard_round_trip_and_container(spark):
     blk = encode.encode_bc1(tiling.tiles(board(spark), "rgb"))
-    back = tiling.stitch(decoded(blk))
+    back = decoded(blk)
     want = board(spark).drop("a")
     assert sorted(back.collect()) == sorted(want.collect())
     files = container.files(container.pack(blk))
     head = container.read_header(files.head()["data"])
     assert (head["width"], head["height"], head["format"]) == (1, 1, "BC1")
-    assert container.unpack(container.parse(files)).drop("bx", "by").collect() == blk.select("image_id", "c0", "c1", "t0", "t1", "t2", "t3").collect()
+    assert container.unpack(container.parse(files)).drop("z", "bx", "by").collect() == blk.select("image_id", "c0", "c1", "t0", "t1", "t2", "t3").collect()
 
 
 @pytest.mark.parametrize("opaque", [0, 1, 15, 16])
