@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -14,6 +11,7 @@ import quilter
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from quilter.sources.store import forget, scratch
 
 #: Rows and bytes of an Arrow batch: texts may be very long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -29,17 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where one machine is all there is may it be unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-    return f"{tempfile.gettempdir()}/quilter-shared"
-
-
 def free(name: str, taken: Iterable[str]) -> str:
     """The name, with as many underscores as keep it from meeting another."""
     used = {t.lower() for t in taken}
@@ -48,11 +35,18 @@ def free(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches bounded in rows and bytes for the actions inside; the session's own bounds hold again afterwards."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Staged:
@@ -63,16 +57,16 @@ class Staged:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/quilter-{uuid.uuid4().hex}"
-        atexit.register(_forget, spark, self.root)
+        self.root = scratch(spark)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _forget(self.spark, f"{self.root}/{name}")
+        forget(self.spark, f"{self.root}/{name}")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.RecordBatch]:
@@ -89,7 +83,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.Rec
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` over batches bounded in rows and bytes; the session's own bounds stay as they are."""
+    """``df.mapInArrow`` over batches bounded in rows and bytes, whatever the session's own bounds, which stay as they are."""
     return df.mapInArrow(partial(_bounded, fn=fn), schema)
 
 

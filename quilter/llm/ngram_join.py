@@ -495,11 +495,7 @@ def links(tiles: DataFrame, docs: DataFrame, measured: DataFrame, classes: DataF
     """Links (a, b) that connect the nodes of each tile (tile, node) as far as their sets are alike."""
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = merged(tiles, classes, staged, f"{name}_tiles")
-    asked = tiles.select(F.xxhash64("node").alias("pre_")).distinct()
-    signed = measured.where("n > 0").select("node", "n", "bits")
-    if asked.count() <= BROADCAST_IDS:
-        signed = signed.join(F.broadcast(asked), F.xxhash64("node") == F.col("pre_"), "left_semi")
-    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    signed = measured.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     signed = tiles.join(signed, "node").select("tile", "node", "n", "bits")
     signed = signed.repartition(shuffles, "tile").sortWithinPartitions("tile")
     tiles = staged.put(arrow_map(signed, _screen, "tile binary, node binary").distinct(), f"{name}_screened")
