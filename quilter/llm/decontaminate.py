@@ -11,14 +11,17 @@ as they are, so a verbatim copy is found whatever it is made of and wherever it
 document is contaminated by an item if the matching windows cover ``COVER`` of the item's words, or
 if it holds ``RUN`` of its words in a row as they are, whatever share of the item that is.
 
-The items' hashes are shipped to the workers in blocks of at most ``BLOCK_CHARS`` characters of items,
-each block one pass over the documents; so what is broadcast has a fixed bound, and any number of
-items is joined in full. Documents are read where they stand, without a shuffle.
+The items' hashes are shipped to the workers in blocks of at most ``BLOCK_CHARS`` characters of items (or one
+longer item); each block is one pass over the documents. One block, as for most benchmarks, is matched where the documents are
+read, without a shuffle. Of several only one is held at a time: its result is written before the next is built, and it is
+taken from the workers again; so what is broadcast has a fixed bound, and any number of items is joined in full.
 
 Defined results: null or empty text is clean; items without a word are never found; items of
 fewer words than a window are one window, matched by values alone; a template must hold ``LITERALS``
 words that are not placeholders, values need none (an item that is one number is found wherever
-that number stands); equal items are each reported.
+that number stands); equal items are each reported, and of shares just at ``COVER`` the item is; rows that repeat an id are judged each by its own text
+and count as one in the report; an empty table of documents gives an empty result, one of items makes every document clean; other columns are ignored by
+``contaminated`` and kept by ``keep_clean``; result columns get an underscore where the id column has their name.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quilter.llm.bytes_np import mix
-from quilter.llm.common import arrow_map
+from quilter.llm.common import Staged, arrow_map, free
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 13
 BLOCK_CHARS, MEMO_WORDS = 16 << 20, 400_000
@@ -192,7 +195,7 @@ class Index:
         return [(self.items[i], s) for i, s in shares if s >= cover or i in quoted]
 
 
-def _match(batches: Iterator[pa.RecordBatch], index, id_col: str, cover: float, keep: str | None) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], index, cover: float, keep: str | None) -> Iterator[pa.RecordBatch]:
     """Contaminated rows as (id, item, cover); with keep, the clean rows as they are."""
     reader, block = Reader(), index.value
     for batch in batches:
@@ -204,34 +207,56 @@ def _match(batches: Iterator[pa.RecordBatch], index, id_col: str, cover: float,
         rows = [i for i, f in enumerate(found) for _ in f]
         flat = [x for f in found for x in f]
         if rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([x for x, _ in flat]), pa.array([s for _, s in flat], pa.float64())], [id_col, "item", "cover"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([x for x, _ in flat]), pa.array([s for _, s in flat], pa.float64())], ["id_", "item", "cover"])
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    size = items.agg(F.sum(F.length(text_col) + 16)).head()[0] or 0
-    n = max(1, -(-size // BLOCK_CHARS))
-    for k in range(n):
-        part = items.select(id_col, text_col) if n == 1 else items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).select(id_col, text_col)
-        yield Index([tuple(r) for r in part.orderBy(id_col, text_col).collect()])
+class Blocks:
+    """Items in blocks of bounded size."""
 
+    def __init__(self, items: DataFrame, id_col: str, text_col: str):
+        # none of the two is named as the user's table names it, so nothing clashes
+        self.items = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+        size = self.items.agg(F.sum(F.length("text") + 16)).head()[0] or 0
+        self.count = max(1, -(-size // BLOCK_CHARS))
+
+    def broadcast(self, k: int):
+        """Block k, at the workers."""
+        part = self.items if self.count == 1 else self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == k)
+        index = Index([tuple(r) for r in part.orderBy("item", "text").collect()])
+        return self.items.sparkSession.sparkContext.broadcast(index)
+
+    def each(self, staged: Staged, name: str, match) -> Iterator[DataFrame]:
+        """What ``match`` makes of each block, written, while no other block is held; of a single block it is lazy."""
+        for k in range(self.count):
+            index = self.broadcast(k)
+            if self.count == 1:
+                yield match(index)
+                return
+            yield staged.put(match(index), f"{name}_{k}")
+            index.destroy()
 
-def contaminated(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER) -> DataFrame:
-    """One row for each contaminated document: id_col, items (sorted), n_items, cover (the largest share).
 
-    Rows that repeat an id and are contaminated count as one.
-    """
-    spark = docs.sparkSession
-    kinds = f"`{id_col}` {dict(docs.dtypes)[id_col]}, item {dict(items.dtypes)[item_id]}, cover double"
-    parts = [
-        arrow_map(docs.select(id_col, text_col), partial(_match, index=spark.sparkContext.broadcast(b), id_col=id_col, cover=cover, keep=None), kinds)
-        for b in _blocks(items, item_id, item_text)
-    ]
-    hits = reduce(DataFrame.unionByName, parts)
-    return hits.groupBy(id_col).agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("cover").alias("cover")).select(id_col, "items", F.size("items").cast("long").alias("n_items"), "cover")
+def contaminated(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER) -> DataFrame:
+    """One row for each contaminated document: id_col, items (sorted), n_items, cover (the largest share)."""
+    kinds = f"id_ {dict(docs.dtypes)[id_col]}, item {dict(items.dtypes)[item_id]}, cover double"
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    blocks = Blocks(items, item_id, item_text)
+    parts = blocks.each(Staged(docs.sparkSession), "hits", lambda index: arrow_map(rows, partial(_match, index=index, cover=cover, keep=None), kinds))
+    hits = reduce(DataFrame.unionByName, parts).groupBy("id_").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("cover").alias("cover"))
+    named = [F.col("items"), F.size("items").cast("long").alias("n_items"), F.col("cover")]
+    return hits.select(F.col("id_").alias(id_col), *[c.alias(free(n, (id_col,))) for c, n in zip(named, ("items", "n_items", "cover"), strict=True)])
 
 
 def keep_clean(docs: DataFrame, text_col: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER) -> DataFrame:
     """The rows no item contaminates, columns unchanged."""
-    for b in _blocks(items, item_id, item_text):
-        docs = arrow_map(docs, partial(_match, index=docs.sparkSession.sparkContext.broadcast(b), id_col="", cover=cover, keep=text_col), docs.schema)
-    return docs
+    staged, blocks = Staged(docs.sparkSession), Blocks(items, item_id, item_text)
+    clean = docs
+
+    def match(index) -> DataFrame:
+        return arrow_map(clean, partial(_match, index=index, cover=cover, keep=text_col), docs.schema)
+
+    for k, part in enumerate(blocks.each(staged, "clean", match)):
+        clean = part
+        if k > 0:
+            staged.drop(f"clean_{k - 1}")
+    return clean
