@@ -19,13 +19,16 @@ their anchors' q-grams are equal: nothing is sampled and nothing is missed.
    the right and d bytes to the left.
 4. Windows found twice are united by document and cut out.
 
+Beside the bytes, documents are told that share a passage of over 50 words with another, however short in bytes (``passages``); the
+anchors in words are found in the same way, and their texts travel with those of step 2.
+
 Documents of equal text are one document with copies, known by 128 bits of their SHA-256; if there are copies and LENGTH
 bytes, the whole text goes. Texts of any length are read in pieces of ``CHUNK_BYTES`` that overlap by a window.
 
 Defined results: null text is empty (nothing removed); texts under LENGTH bytes stay; rows
 that repeat an id are judged by their own texts, and equal texts under one id are copies of each other; there are no ties, as all of
 a repeated string's places lose it; an empty table gives an empty result; other columns are ignored, and result columns get an
-underscore where the id column has their name.
+underscore where the id column has their name. shares_passage counts copies of a text of over 50 words as sharing it, and a passage twice in one document alone not.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ from quilter.llm.bytes_np import BYTE_KEYS, INVERSE, mix, powers, text_bytes
 from quilter.llm.common import Staged, arrow_map, free, spread_join
 from quilter.llm.loser_tree import common_prefix, front_code, merge
 from quilter.llm.ngram_join import _by_run, _chunks
+from quilter.llm.passages import WordAnchors, joined, minimizers, sharing
 
 LENGTH, GRAM = 400, 32
 CHUNK_BYTES = 1 << 20
@@ -57,6 +61,8 @@ RUN_BYTES = 24 << 20
 #: a, b: the document's digest; at: anchor; lo, hi: windows start from at - hi to at - lo
 ANCHOR = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u8"), ("at", "<u4"), ("lo", "<u2"), ("hi", "<u2")])
 DIGEST = 16
+#: A text of over 50 words.
+WORDY = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){50}[^\x20\x09-\x0D]"
 
 
 class Anchors:
@@ -74,10 +80,8 @@ class Anchors:
                 piece = raw[at : at + CHUNK_BYTES + self.length - 1]
                 _, place, key, lo, hi = self._find(piece, np.array([0, len(piece)]))
                 pieces.append((place + at, key, lo, hi))
-            place, key, lo, hi = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            # an anchor's windows may begin in two pieces
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            return np.zeros(len(first), np.int64), place[first], key[first], np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+            place, key, lo, hi = joined(pieces)
+            return np.zeros(len(place), np.int64), place, key, lo, hi
         return self._find(raw, offsets)
 
     def _find(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,28 +94,7 @@ class Anchors:
         np.cumsum(BYTE_KEYS[raw] * self.up[:size], out=running[1:])
         n = size - self.gram + 1
         key = mix((running[self.gram :] - running[:n]) * self.down[:n])
-        low = (key & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(n, dtype=np.uint64)
-        span, width = self.length - self.gram + 1, 1
-        while width * 2 <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < span:
-            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        at = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)  # anchor of the window at each start
-        inside = np.zeros(size - self.length + 2, np.int32)
-        first, last = offsets[:-1], offsets[1:] - self.length
-        own = last >= first
-        np.add.at(inside, first[own], 1)
-        np.add.at(inside, last[own] + 1, -1)
-        start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        at = at[start]
-        if not len(at):
-            return none, none, none.astype(np.uint64), none, none
-        cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
-        end = np.append(cut[1:], len(at)) - 1
-        place = at[cut]
-        row = np.searchsorted(offsets, place, "right") - 1
-        return row, place - offsets[row], key[place], place - start[end], place - start[cut]
+        return minimizers(key, offsets, self.length, self.gram, PLACE_BITS)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -141,9 +124,9 @@ def _by_doc(rec: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return _binary(names, np.arange(len(cut) + 1) * DIGEST), _binary(rec.tobytes(), np.append(cut, len(rec)) * ANCHOR.itemsize)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, parts_log: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], make, parts_log: int) -> Iterator[pa.RecordBatch]:
     """(part, records) of anchors to be compared with those of other batches; (doc, records) of anchors shared inside a batch."""
-    finder, names = Anchors(length), ["part", "doc", "data"]
+    finder, names = make(), ["part", "doc", "data"]
     for batch in batches:
         docs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(-1, 2)
         out = []
@@ -370,44 +353,53 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 
 
 def dedup(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept_sha256 of every row, and on request the kept bytes (null where the text stays whole)."""
+    """id_col, n_bytes, n_removed, n_spans, kept_sha256, shares_passage of every row, and on request the kept bytes (null where the text stays whole)."""
     spark = df.sparkSession
     staged = Staged(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
     digest = F.substring(F.unhex(F.col("sha_")), 1, DIGEST)
     docs = df.select(text.alias("text_"), sha.alias("sha_")).select("text_", digest.alias("doc"))
-    rows = df.select(F.col(id_col).alias("id_"), sha.alias("sha_"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = df.select(F.col(id_col).alias("id_"), sha.alias("sha_"), F.octet_length(text).cast("long").alias("n_bytes"), text.rlike(WORDY).alias("wordy_"))
     rows = staged.put(rows.withColumn("doc", digest), "rows")
     total = rows.count()
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts_log = max(6, (4 * shuffles - 1).bit_length())
     long_ = docs.where(F.octet_length("text_") >= length)
 
-    every = arrow_map(long_.select("doc", "text_"), partial(_anchors, length=length, parts_log=parts_log), "part int, doc binary, data binary")
-    every = staged.put(every, "anchors")
-    travel = every.where("part is not null").select("part", "data").repartition(shuffles, "part").sortWithinPartitions("part")
-    live = arrow_map(travel, _shared, "doc binary, anchors binary").union(every.where("part is null").select("doc", F.col("data").alias("anchors")))
-    live = staged.put(live, "live")
-    staged.drop("anchors")
+    def shared(texts: DataFrame, make, name: str) -> DataFrame:
+        """(doc, anchors) of the anchors that stand at two places or more."""
+        every = staged.put(arrow_map(texts.select("doc", "text_"), partial(_anchors, make=make, parts_log=parts_log), "part int, doc binary, data binary"), f"{name}_anchors")
+        travel = every.where("part is not null").select("part", "data").repartition(shuffles, "part").sortWithinPartitions("part")
+        live = arrow_map(travel, _shared, "doc binary, anchors binary").union(every.where("part is null").select("doc", F.col("data").alias("anchors")))
+        live = staged.put(live, f"{name}_live")
+        staged.drop(f"{name}_anchors")
+        return live
+
+    live = shared(long_, partial(Anchors, length), "bytes")
+    worded = shared(docs.where(F.col("text_").rlike(WORDY)), WordAnchors, "words")
     # texts without anchors need not travel; that some share 64 bits with one that has is no harm
-    ids = live.select(F.xxhash64("doc").alias("pre_")).distinct()
+    ids = live.select("doc").union(worded.select("doc")).select(F.xxhash64("doc").alias("pre_")).distinct()
+    asked = docs.where((F.octet_length("text_") >= length) | F.col("text_").rlike(WORDY))
     if ids.count() <= BROADCAST_IDS:
-        long_ = long_.join(F.broadcast(ids), F.xxhash64("doc") == F.col("pre_"), "left_semi")
-    texts = long_.select("doc", "text_", F.lit(None).cast("binary").alias("anchors"))
-    both = texts.union(live.select("doc", F.lit(None).cast("string"), "anchors"))
+        asked = asked.join(F.broadcast(ids), F.xxhash64("doc") == F.col("pre_"), "left_semi")
+    none = F.lit(None)
+    texts = asked.select("doc", "text_", none.cast("binary").alias("anchors"), none.cast("binary").alias("places"))
+    both = texts.union(live.select("doc", none.cast("string"), "anchors", none.cast("binary"))).union(worded.select("doc", none.cast("string"), none.cast("binary"), "anchors"))
     # one shuffle brings texts and anchors together and makes one text of all copies; anchors are as long as the text at most
-    suspects = both.groupBy("doc").agg(F.first("text_", ignorenulls=True).alias("text_"), F.collect_list("anchors").alias("anchors")).where(F.size("anchors") > 0)
-    suspects = staged.put(suspects, "suspects")
+    suspects = both.groupBy("doc").agg(F.first("text_", ignorenulls=True).alias("text_"), F.collect_list("anchors").alias("anchors"), F.collect_list("places").alias("places"))
+    suspects = staged.put(suspects.where((F.size("anchors") > 0) | (F.size("places") > 0)), "suspects")
 
-    runs = arrow_map(suspects.select("doc", "text_", "anchors"), partial(_runs, length=length, parts_log=parts_log), "part int, run binary")
+    runs = arrow_map(suspects.where(F.size("anchors") > 0).select("doc", "text_", "anchors"), partial(_runs, length=length, parts_log=parts_log), "part int, run binary")
     runs = runs.repartition(shuffles, "part").sortWithinPartitions("part")
     spans = staged.put(arrow_map(runs, partial(_found, length=length), "doc binary, lo int, hi int"), "spans")
     spans = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     cut = arrow_map(suspects.join(spans, "doc").select("doc", "text_", "spans"), partial(_cut, with_text=with_text), "doc binary, removed long, spans long, sha string" + ", kept binary" * with_text)
 
     copies = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("copies_"))
-    facts = staged.put(copies.join(cut, "doc", "left").where("copies_ > 1 or sha is not null"), "facts")
+    told = sharing(suspects, worded, ANCHOR, staged, BROADCAST_IDS).withColumn("shares_", F.lit(True))
+    facts = copies.join(cut, "doc", "left").join(told, "doc", "left").where("copies_ > 1 or sha is not null or shares_")
+    facts = staged.put(facts, "facts")
     out = spread_join(rows, facts, "doc", "copies_", total)
     gone = (F.col("copies_") > 1) & (F.col("n_bytes") >= length)
     taken = (id_col,)
@@ -417,5 +409,6 @@ def dedup(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, with_
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias(free("n_removed", taken)),
         F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias(free("n_spans", taken)),
         F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("sha", "sha_")).alias(free("kept_sha256", taken)),
+        (F.col("wordy_") & ((F.coalesce("copies_", F.lit(1)) > 1) | F.coalesce("shares_", F.lit(False)))).alias(free("shares_passage", taken)),
     ]
     return out.select(*cols, *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias(free("kept", taken))] if with_text else []))

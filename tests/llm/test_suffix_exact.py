@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,5 +86,57 @@ def test_names_that_clash(spark):
     text = "the house of the river " * 30
     df = spark.createDataFrame([(1, text, "x"), (2, text, "y")], "n_bytes long, sha_ string, doc string")
     out = suffix_dedup.dedup(df, "n_bytes", "sha_", with_text=True)
-    assert out.columns == ["n_bytes", "n_bytes_", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert out.columns == ["n_bytes", "n_bytes_", "n_removed", "n_spans", "kept_sha256", "shares_passage", "kept"]
     assert [(r["n_removed"], bytes(r["kept"])) for r in out.collect()] == [(len(text), b"")] * 2
+
+
+def shares(texts):
+    """Whether each text has a run of 51 words that another has too."""
+    runs = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        runs.append({tuple(w[i : i + 51]) for i in range(len(w) - 50)})
+    of = Counter(r for own in runs for r in own)
+    return [any(of[r] > 1 for r in own) for own in runs]
+
+
+def test_passages_of_over_fifty_words(spark):
+    rng = random.Random(6)
+    few = "the of to a in on at by".split()
+    passage = [[rng.choice(few) if k % 2 else words(rng, 1) for _ in range(n)] for k, n in enumerate([50, 51, 52, 60, 51, 70, 150])]
+    texts = []
+    for i in range(160):
+        parts = [words(rng, rng.randint(0, 90)) for _ in range(2)]
+        own = passage[i % 9] if i % 9 < len(passage) else []
+        cut = own[rng.randint(0, 3) :] if i % 5 == 0 else own
+        parts.insert(1, rng.choice([" ", "  ", "\n"]).join(cut))
+        texts.append(" ".join(parts))
+    lone = words(rng, 55)
+    texts += [f"{lone} {lone}", texts[3], words(rng, 50), "x", None, " ", texts[4] + " end", " ".join(few * 30), "b " + " ".join(few * 30)]
+    texts += [texts[-3 - 9]] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["shares_passage"] for r in suffix_dedup.dedup(df, "doc_id", "text").collect()}
+    want = shares(texts)
+    assert [got[i] for i in range(len(texts))] == want and 40 < sum(want) < len(want) - 20
+
+
+def test_words_of_long_texts_come_in_pieces(monkeypatch):
+    from quilter.llm import passages
+
+    rng = random.Random(7)
+    raw = np.frombuffer((" ".join(words(rng, rng.randint(1, 60)) + " " * rng.randint(0, 3) for _ in range(500)) + " " + "q" * 9000 + " " + words(rng, 200)).encode(), np.uint8)
+    whole = passages.WordAnchors().find(raw, np.array([0, len(raw)]))
+    hashes = passages.Words().read(raw, np.array([0, len(raw)]))[0]
+    monkeypatch.setattr(passages, "CHUNK_BYTES", 2000)
+    pieces = passages.WordAnchors().find(raw, np.array([0, len(raw)]))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces, strict=True))
+    for base, part in passages.Words().pieces(raw):
+        assert np.array_equal(part, hashes[base : base + len(part)])
+
+
+def test_given_tables(spark, data):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    ids = sorted(docs)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"], r["shares_passage"]) for r in suffix_dedup.dedup(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text").collect()}
+    want = [(*a, b) for a, b in zip(plain([docs[i] for i in ids], 400), shares([docs[i] for i in ids]), strict=True)]
+    assert [got[i] for i in ids] == want
