@@ -4,6 +4,10 @@ language: documents whose language is not determined go. near_duplicates: one do
 each group of near copies stays. decontaminate: documents that hold a benchmark item go. pii:
 personal data in texts becomes placeholders. bpe: texts become ids.
 All but the last keep the columns of ``documents`` (n_chars follows the text).
+
+Defined results: documents of null or empty text, or without a letter, go with the first stage; an empty table runs
+through; of near copies the one of the smallest id stays (a null id last, then by digest of the text), and of rows equal in id and text one;
+no stage drops or renames columns of the user's; what a stage decides on a tie is said where its operator is.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ is O(n log n) in the length of a pre-token. Each worker remembers the ids of
 pre-tokens it has seen, in a dictionary emptied when it reaches a fixed size.
 
 Defined results: null text is the empty text (no ids); equal texts give equal
-ids; ids decode to exactly the text's bytes.
+ids; ids decode to exactly the text's bytes; of pairs of equal rank the leftmost is merged first; rows that repeat an id
+are encoded each by its own text; an empty table gives an empty result; texts of any length are encoded whole, in
+linear memory; other columns are ignored, and result columns get an underscore where the id column has their name.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quilter.llm.common import arrow_map
+from quilter.llm.common import arrow_map, free
 
 MEMO_ENTRIES = 500_000
 EMPTY = -1
@@ -150,7 +153,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, id_col: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = codec.encoder()
     for batch in batches:
         n_tokens, ids_sha, text_sha, ids = [], [], [], []
@@ -161,22 +164,23 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], codec: Codec, id_col: str
             text_sha.append(hashlib.sha256(codec.decode(packed)).hexdigest())
             if with_ids:
                 ids.append(packed)
-        out = {id_col: batch.column(0), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        out = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
         if with_ids:
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_tokens]), pa.int32()), flat)
-        yield pa.RecordBatch.from_pydict(out)
+            out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_tokens]), pa.int32()), flat))
+        yield pa.RecordBatch.from_arrays(out, names)
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int], pattern: str, with_ids: bool = True) -> DataFrame:
     """id_col, n_tokens, digests of the ids and of the decoded bytes, and the ids themselves; one narrow pass."""
     codec = Codec(ranks, pattern)
-    kind = dict(df.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    types = [dict(df.dtypes)[id_col], "long", "string", "string", *["array<int>"] * with_ids]
+    names = [id_col, *(free(n, (id_col,)) for n in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")[: 3 + with_ids])]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True))
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(codec)  # as large as the vocabulary, not the data
-    return arrow_map(df.select(id_col, text_col), partial(_encode_shared, shared=shared, id_col=id_col, with_ids=with_ids), schema)
+    return arrow_map(df.select(F.col(id_col), F.col(text_col)), partial(_encode_shared, shared=shared, names=names, with_ids=with_ids), schema)
 
 
-def _encode_shared(batches: Iterator[pa.RecordBatch], shared, id_col: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    return _encode_batches(batches, shared.value, id_col, with_ids)
+def _encode_shared(batches: Iterator[pa.RecordBatch], shared, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    return _encode_batches(batches, shared.value, names, with_ids)

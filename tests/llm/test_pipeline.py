@@ -5,7 +5,10 @@ import hashlib
 import corpus_pipeline
 from test_brute_force import components, shingles
 
-from quilter.llm import decontaminate, langid, pii
+from test_decontaminate_plain import plain as contaminates
+from test_pii_spans import plain as spans_of
+
+from quilter.llm import langid, pii
 
 
 def test_pipeline(spark, data):
@@ -23,11 +26,9 @@ def test_pipeline(spark, data):
     kept = {i: rows[i] for i, lang, s in zip(ids, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.LEAST_SCORE}
     group = components({i: shingles(t) for i, t in kept.items()})
     kept = {i: t for i, t in kept.items() if group[i] == i}
-    index = decontaminate.Index([tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()])
-    reader = decontaminate.Reader()
-    kept = {i: t for i, t in kept.items() if not index.match(*reader.read(t), decontaminate.COVER)}
-    model = pii.train()
-    kept = {i: pii.redact(t, pii.find_spans(t, model)) for i, t in kept.items()}
+    items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    kept = {i: t for i, t in kept.items() if all(contaminates(x, t) is None for x in items)}
+    kept = {i: pii.redact(t, spans_of(t)) for i, t in kept.items()}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(pt.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=pt.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = {i: hashlib.sha256(np.array(enc.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in kept.items()}

@@ -83,3 +83,33 @@ def test_defined_results(operators, docs):
     assert by("spotsig")[1]["fingerprint"] == ""
     assert by("url_filter")[1]["host"] == ""
     assert by("bpe")[1]["n_tokens"] == 0
+
+
+CLASHES = "text_ id_ key_ own_ row_ doc node part n sha_ kept_ again_ copies_ shares_ slot shard host path rule ruled score url_ u lang_pred held_out item items cover n_chars n_tokens ids spans n_email n_bytes n_removed kept n_shingles component_id fingerprint pre_ bits tile short".split()
+
+
+def test_extra_columns_of_any_name_do_no_harm(operators, docs, spark):
+    extra = docs.select("doc_id", "text", "lang", "node", *[docs.lang.alias(c) for c in CLASHES if c != "node"])
+    for name in NAMES:
+        if name in ("sharding", "html"):
+            continue
+        want, got = operators[name](docs.select("doc_id", "text", "lang")), operators[name](extra)
+        both = [c for c in want.columns if c in got.columns]
+        assert len(both) == len(want.columns)
+        assert sorted(map(str, want.select(both).collect())) == sorted(map(str, got.select(both).collect())), name
+        if name in ("keep_clean", "redact", "keep_identified", "keep_one"):
+            assert got.schema == extra.schema
+
+
+@pytest.mark.parametrize("clash", ["text_", "key_", "n_tokens", "lang_pred", "item", "n_bytes", "component_id", "fingerprint", "spans", "verdict"])
+def test_the_id_may_have_any_name(spark, clash):
+    ranks, pattern = tokenizer()
+    df = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran to the town", "en")], f"{clash} long, body string, tongue string")
+    items = spark.createDataFrame([(5, "the cat sat on the mat and the dog ran to the town")], "item long, cover string")
+    for out in (
+        sharding.place(df, clash), url_filter.judge_urls(df, clash, "body"), spotsig.fingerprints(df, clash, "body"),
+        decontaminate.contaminated(df, clash, "body", items, "item", "cover"), pii.detect(df, clash, "body", True), bpe.encode_texts(df, clash, "body", ranks, pattern),
+        langid.label(df, clash, "body", "tongue"), ngram_join.join(df, clash, "body"), suffix_dedup.dedup(df, clash, "body"),
+    ):
+        (row,) = out.collect()
+        assert row[0] == 1 and out.columns[0] == clash and len(set(map(str.lower, out.columns))) == len(out.columns)
