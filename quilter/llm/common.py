@@ -79,7 +79,10 @@ def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.Rec
             for at in range(0, n, rows):
                 yield batch.slice(at, rows)
 
-    yield from fn(pieces())
+    try:
+        yield from fn(pieces())
+    finally:
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other tasks
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
