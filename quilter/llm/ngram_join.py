@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quilter.llm.bytes_np import BASE, BYTE_KEYS, INVERSE, binary_column, digest_array, digest_column, halves, joined_bytes, mix, powers, text_bytes
 from quilter.llm.common import Staged, arrow_map, free, spread_join
@@ -480,14 +481,18 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged(tiles: DataFrame, classes: DataFrame, staged: Staged, name: str) -> DataFrame:
     """Tiles that overlap become one, where that one is within a tile's size; so most sets travel once."""
-    # tiles are nodes of this graph too; what they are called by is no set's digest, and drops out
-    around = staged.put(components(tiles.select(F.col("node").alias("a"), F.col("tile").alias("b")), staged, f"{name}_cc"), f"{name}_around")
-    weight = around.join(classes.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members"))
-    weight = staged.put(weight, f"{name}_weight")
-    around = spread_join(around, weight, "root", "members", around.count(), "inner").select("node", "root", (F.col("weight") <= MERGED_SHINGLES).alias("fits"))
-    around = staged.put(around, f"{name}_fits")
-    one = around.where("fits").select(F.col("root").alias("tile"), "node")
-    apart = tiles.join(around.where("not fits"), "node", "left_semi").select("tile", "node")
+    # 64 bits name a node in this graph; where two share them their tiles merge, which is no harm
+    vertex = F.xxhash64("node").alias("v")
+    star = tiles.select(vertex, F.min(vertex).over(Window.partitionBy("tile")).alias("first"))
+    around = staged.put(components(star.select(F.col("v").alias("a"), F.col("first").alias("b")), staged, f"{name}_cc"), f"{name}_around")
+    nodes = tiles.select("node").distinct().join(classes.select("node", "n"), "node").withColumn("v", vertex)
+    rooted = nodes.join(around, nodes["v"] == around["node"], "left").select(nodes["node"], "n", F.coalesce("root", "v").alias("root"))
+    nodes = staged.put(rooted, f"{name}_nodes")
+    weight = nodes.groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members"))
+    fits = spread_join(nodes, staged.put(weight, f"{name}_weight"), "root", "members", nodes.count(), "inner")
+    fits = staged.put(fits.select("node", "root", (F.col("weight") <= MERGED_SHINGLES).alias("fits")), f"{name}_fits")
+    one = fits.where("fits").select(F.unhex(F.lpad(F.hex("root"), 16, "0")).alias("tile"), "node")
+    apart = tiles.join(fits.where("not fits"), "node", "left_semi").select("tile", "node")
     return staged.put(one.union(apart), f"{name}_merged")
 
 
