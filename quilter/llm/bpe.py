@@ -3,7 +3,7 @@
 Tier one is a minimal perfect hash (hash and displace) over the vocabulary: a
 pre-token that is a vocabulary entry is one id at once. Tier two, for the misses,
 merges the lowest-ranked pair first with a heap of pairs over linked bytes, which
-is O(n log n) in the length of a pre-token. Each worker remembers the ids of
+is O(n log n) in the length of a pre-token; the ranks of parts come from a plain dictionary. Each worker remembers the ids of
 pre-tokens it has seen, in a dictionary emptied when it reaches a fixed size.
 
 Defined results: null text is the empty text (no ids); equal texts give equal
@@ -93,13 +93,14 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.table = PerfectHash(ranks)
+        self.rank = dict(ranks)  # for the parts of misses, which are looked up far more often than whole pre-tokens
         # \s in the pattern means Unicode white space
         self.pattern = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.bytes_of[v] = k
         #: Ranks of all pairs of bytes, where every merge begins.
-        self.pairs = [self.table.find(bytes((a, b))) for a in range(256) for b in range(256)]
+        self.pairs = [self.rank.get(bytes((a, b)), EMPTY) for a in range(256) for b in range(256)]
 
     def ids(self, piece: bytes) -> list[int]:
         whole = self.table.find(piece)
@@ -108,27 +109,28 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, by a heap over linked parts."""
         n = len(piece)
-        find = self.table.find
+        rank, pairs = self.rank.get, self.pairs
         end = list(range(1, n + 1))  # end of the part that starts here; 0 once it is swallowed
         before = list(range(-1, n - 1))
-        pairs = self.pairs
         heap = [(r, i, i + 2) for i, (a, b) in enumerate(pairwise(piece)) if (r := pairs[a << 8 | b]) >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            _, i, stop = pop(heap)
             j = end[i]
             if not j or j >= n or end[j] != stop:
                 continue  # one of the two parts has changed since
             end[i], end[j] = stop, 0
             if stop < n:
                 before[stop] = i
-                if (r := find(piece[i : end[stop]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := find(piece[p:stop])) >= 0:
-                heapq.heappush(heap, (r, p, stop))
+                after = end[stop]
+                if (r := rank(piece[i:after])) is not None:
+                    push(heap, (r, i, after))
+            if (p := before[i]) >= 0 and (r := rank(piece[p:stop])) is not None:
+                push(heap, (r, p, stop))
         out, i = [], 0
         while i < n:
-            out.append(find(piece[i : end[i]]))
+            out.append(self.rank[piece[i : end[i]]])
             i = end[i]
         return out
 
