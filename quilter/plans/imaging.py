@@ -578,6 +578,64 @@ SEARCHED_SQL = SOLVED_SQL + (
     "SELECT tile_id, hi, lo, error FROM rk WHERE place = 1"
 )
 IMAGING.add("K10", _searched, SEARCHED_SQL)
+
+
+# ---- the same steps for colours -------------------------------------------
+
+
+def _colour_tiles(spark, sf_dir):
+    """Pixels with the moments and bounds of their tiles."""
+    px = rgb(spark, sf_dir).withColumns({"bx": F.floor(col("x") / 4), "by": F.floor(col("y") / 4)})
+    return px, statistics.with_axis(tile_moments(spark, sf_dir))
+
+
+def _projected(spark, sf_dir):
+    px, of = _colour_tiles(spark, sf_dir)
+    d = px.join(of.select(*TILE_KEYS, "axis"), TILE_KEYS)
+    return d.select(*KEYS, F.round(sum((C.normalise(col(c)) * col("axis")[a] for c, a in zip(RGB, "xyz", strict=True)), F.lit(0.0)), 5).alias("projection"))
+
+
+IMAGING.add("K01_colours", _projected, GRID_SQL + MOMENTS_SQL + AXIS_SQL + f"SELECT p.image_id, p.x, p.y, round(0.0::DOUBLE + {' + '.join(f'{unorm(f"p.{c}")} * ax.{a}' for c, a in zip(RGB, 'xyz', strict=True))}, 5) AS projection FROM px p JOIN ax{statistics.ROUNDS} ax ON ax.image_id = p.image_id AND ax.bx = p.x // 4 AND ax.by = p.y // 4")
+
+
+def _box_palette() -> list[list]:
+    """Four colours from the largest corner of a tile's box to the least, on 5, 6 and 5 bits."""
+    corner = lambda n: [F.floor(C.normalise(col(f"{n}_{c}")) * m) / float(m) for c, m in zip(RGB, (31, 63, 31), strict=True)]
+    hi, lo = corner("hi"), corner("lo")
+    return [[h * (1 - i / 3) + low * (i / 3) for h, low in zip(hi, lo, strict=True)] for i in range(4)]
+
+
+def _box_palette_sql() -> list[list[str]]:
+    corner = lambda n: [f"(floor({unorm(f'{n}_{c}')} * {m}) / {m}.0::DOUBLE)" for c, m in zip(RGB, (31, 63, 31), strict=True)]
+    return [[f"({h} * {1 - i / 3!r}::DOUBLE + {low} * {i / 3!r}::DOUBLE)" for h, low in zip(corner("hi"), corner("lo"), strict=True)] for i in range(4)]
+
+
+IMAGING.add(
+    "K05_colours",
+    lambda s, d: tile_moments(s, d).select(*TILE_KEYS, *[F.round(v, 8).alias(f"p{i}_{c}") for i, p in enumerate(_box_palette()) for c, v in zip(RGB, p, strict=True)]),
+    GRID_SQL + MOMENTS_SQL + "SELECT image_id, bx, by, " + ", ".join(f"round({v}, 8) AS p{i}_{c}" for i, p in enumerate(_box_palette_sql()) for c, v in zip(RGB, p, strict=True)) + " FROM mm",
+)
+
+
+def _nearest_colours(spark, sf_dir):
+    """The palette entry of least perceptual distance for each pixel, the first among equals, and that distance."""
+    px, _ = _colour_tiles(spark, sf_dir)
+    pal = tile_moments(spark, sf_dir).select(*TILE_KEYS, *[v.alias(f"q{i}_{n}") for i, p in enumerate(_box_palette()) for n, v in zip("yiq", C.to_yiq(*p), strict=True)])
+    d = px.join(pal, TILE_KEYS).withColumns(dict(zip(("yy", "ii", "qq"), C.to_yiq(*[C.normalise(col(c)) for c in RGB]), strict=True)))
+    own = tuple(col(n) for n in ("yy", "ii", "qq"))
+    d = d.withColumns({f"e{i}": F.round(C.perceptual(own, tuple(col(f"q{i}_{n}") for n in "yiq")), 8) for i in range(4)})
+    best = F.least(*[col(f"e{i}") for i in range(4)])
+    index = F.when(col("e0") == best, 0).when(col("e1") == best, 1).when(col("e2") == best, 2).otherwise(3)
+    return d.select(*KEYS, index.cast("long").alias("i"), best.alias("e"))
+
+
+_own_yiq = matrix_sql(C.TO_YIQ, [unorm(f"p.{c}") for c in RGB])
+IMAGING.add(
+    "K06_colours",
+    _nearest_colours,
+    GRID_SQL + MOMENTS_SQL + ", er AS (SELECT p.image_id, p.x, p.y, " + ", ".join(f"round({perceptual_sql(_own_yiq, matrix_sql(C.TO_YIQ, p))}, 8) AS e{i}" for i, p in enumerate(_box_palette_sql()))
+    + " FROM px p JOIN mm ON mm.image_id = p.image_id AND mm.bx = p.x // 4 AND mm.by = p.y // 4) SELECT image_id, x, y, CASE least(e0, e1, e2, e3) WHEN e0 THEN 0 WHEN e1 THEN 1 WHEN e2 THEN 2 ELSE 3 END::BIGINT AS i, least(e0, e1, e2, e3) AS e FROM er",
+)
 IMAGING.add("K11", lambda s, d: encode.encode_bc1(tiling.tiles(smooth_pixels(s, d), RGB)))
 
 # ---- sources and sinks ----------------------------------------------------

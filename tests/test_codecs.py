@@ -137,6 +137,43 @@ def test_coders_round_trip(symbols):
     assert coders.lzw_decode(coders.lzw_encode(symbols, 8), 8) == symbols
 
 
+def plain_lz78(symbols, bits):
+    """Phrases as tuples, codes as a string of bits, lowest first."""
+    known, out, phrase = {(): 0}, "", ()
+    put = lambda v, n: format(v, f"0{n}b")[::-1][:n] if n else ""
+    for s in symbols:
+        if (*phrase, s) in known:
+            phrase = (*phrase, s)
+            continue
+        out += put(known[phrase], (len(known) - 1).bit_length()) + put(s, bits)
+        known[(*phrase, s)] = len(known)
+        phrase = ()
+    out += put(known[phrase], (len(known) - 1).bit_length())
+    return bytes(int(out[i : i + 8][::-1], 2) for i in range(0, len(out), 8))
+
+
+def plain_lzw(symbols, bits):
+    known, out, phrase = {(s,): s for s in range(1 << bits)}, "", ()
+    put = lambda v: format(v, f"0{(len(known) - 1).bit_length()}b")[::-1]
+    for s in symbols:
+        if (*phrase, s) in known:
+            phrase = (*phrase, s)
+            continue
+        out += put(known[phrase])
+        known[(*phrase, s)] = len(known)
+        phrase = (s,)
+    out += put(known[phrase]) if phrase else ""
+    return len(symbols).to_bytes(8, "little") + bytes(int(out[i : i + 8][::-1], 2) for i in range(0, len(out), 8))
+
+
+@given(st.lists(st.integers(0, 5), max_size=200))
+@settings(max_examples=60, deadline=None)
+def test_coded_bytes_match_plain_coders(symbols):
+    assert coders.lz78_encode(symbols, 16) == plain_lz78(symbols, 16)
+    assert coders.lzw_encode(symbols, 8) == plain_lzw(symbols, 8)
+
+
+#: Values and bytes (fixed values).
 def test_bit_writer_vector():
     w = coders.BitWriter()
     for value, bits in ((bytes([1, 2, 3, 4]), 27), (bytes([5]), 3), (bytes([6, 7]), 16), (bytes([8, 9, 10]), 22), (bytes([11, 12, 13, 14]), 30)):
@@ -147,6 +184,7 @@ def test_bit_writer_vector():
 
 
 def test_morton_vectors(spark):
+    # (fixed values)
     want = {0: (0, 0), 2: (0, 1), 3: (1, 1), 0b10101010: (0, 15), 0b01010101: (15, 0), 0b11011000: (0b1100, 0b1010), 0xAAAAAAAA: (0, 65535)}
     x, y = tiling.morton_split(F.col("i"))
     rows = spark.createDataFrame([(k,) for k in want], "i long").select("i", x.alias("x"), y.alias("y")).collect()
