@@ -154,6 +154,15 @@ def code_streams(streams: DataFrame) -> DataFrame:
     return streams.select(F.col("stream_id").cast("long"), F.col("symbols").cast("array<int>")).mapInArrow(_code, "stream_id long, symbols long, lz78_bytes long, lzw_bytes long, same boolean")
 
 
+#: How far apart symbols of so many bits may be, upwards less one, to count as near (fixed values).
+NEAR = {8: 1, 16: 2}
+
+
+def near_symbol(a: Column, b: Column, bits: int) -> Column:
+    """Whether a - b, around the alphabet, is from -NEAR to NEAR - 1."""
+    return F.pmod(a.cast("long") - b.cast("long") + NEAR[bits], F.lit(1 << bits)) < 2 * NEAR[bits]
+
+
 #: Distance-and-length codes: bits of the distance by its kind, and the first distance of each kind (fixed values).
 DISTANCE_BITS, DISTANCE_FROM = (5, 7, 9, 11), (0, 32, 128, 512)
 

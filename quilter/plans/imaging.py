@@ -653,6 +653,18 @@ IMAGING.add("S01", lambda s, d: _through_files(s, rgb(s, d), RGB).drop("a"), GRI
 IMAGING.add("S02", lambda s, d: _through_files(s, rgba(s, d), RGBA), GRID_SQL + "SELECT image_id, x, y, r, g, b, a FROM px")
 
 
+def _exported(spark, sf_dir):
+    """Images as files to be shown elsewhere, and what a reader sees of them."""
+    path = scratch(spark)
+    sizes = images.write_images(images.to_rows(rgba(spark, sf_dir), RGBA), path)
+    d = images.read_images(spark, path).select("image_id", col("width").cast("long"), col("height").cast("long"), col("channels").cast("long"))
+    names = spark.createDataFrame([(n, b > 0) for n, b in sizes], "name string, written boolean")
+    return d.join(names, F.concat(col("image_id").cast("string"), F.lit(".png")) == col("name"))
+
+
+IMAGING.add("S14", _exported, GRID_SQL + DIMS_SQL + "SELECT image_id, width, height, 4::BIGINT AS channels, image_id || '.png' AS name, true AS written FROM dims")
+
+
 def _source_node(spark, sf_dir):
     g = graph.Graph({"grid": rgb(spark, sf_dir)})
     return g.output(g.add("source", "grid"))
@@ -826,6 +838,22 @@ for _name in ("X01", "X02"):
 IMAGING.add("X03", lambda s, d: table(s, d, "orders").select("o_orderkey", B.hex_bytes([(col("o_orderkey"), 4), (col("o_custkey"), 8)]).alias("data")), "SELECT o_orderkey, " + " || ".join([f"printf('%02X', (o_orderkey >> {8 * i}) & 255)" for i in range(4)] + [f"printf('%02X', (o_custkey >> {8 * i}) & 255)" for i in range(8)]) + " AS data FROM orders")
 
 
+def _near(spark, sf_dir):
+    a, b = col("o_orderkey"), col("o_custkey")
+    d = table(spark, sf_dir, "orders")
+    near = {f"near_{bits}_{k}": coders.near_symbol(a % size, (a + b % 7 - 3 + k) % size, bits) for bits, size in ((8, 256), (16, 65536)) for k in (0, size - 1)}
+    return d.select(a.alias("id"), *[c.alias(n) for n, c in near.items()])
+
+
+def _near_sql(bits: int, size: int, k: int) -> str:
+    far = f"(((o_orderkey % {size}) - ((o_orderkey + o_custkey % 7 - 3 + {k}) % {size}) + {2 * size}) % {size})"
+    up = coders.NEAR[bits]
+    return f"{far} < {up} OR {far} >= {size - up}"
+
+
+IMAGING.add("X06", _near, "SELECT o_orderkey AS id, " + ", ".join(f"({_near_sql(bits, size, k)}) AS near_{bits}_{k}" for bits, size in ((8, 256), (16, 65536)) for k in (0, size - 1)) + " FROM orders")
+
+
 def _matches(spark, sf_dir):
     packed_code = coders.pack_match(col("o_orderkey") * 13 % 2048, col("o_custkey") % 8)
     d, n = coders.unpack_match(col("code"))
