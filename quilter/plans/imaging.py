@@ -685,7 +685,7 @@ def _reloaded(spark, sf_dir):
 IMAGING.add("S04", _reloaded, GRID_SQL + "SELECT image_id, x, y, r, g, b, a, 'kept' AS of FROM px UNION ALL SELECT image_id, x, y, r, g, b, NULL AS a, 'fresh' AS of FROM px")
 
 #: Rows of blocks in a plane when images are cut into textures of several planes.
-PLANE_ROWS = 5
+PLANE_ROWS = 2
 
 
 def layered_blocks(spark, sf_dir):
