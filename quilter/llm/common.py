@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -69,6 +71,14 @@ class Staged:
         forget(self.spark, f"{self.root}/{name}")
 
 
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system, as far as the C library knows how."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.RecordBatch]:
     def pieces() -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +92,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.Rec
     try:
         yield from fn(pieces())
     finally:
-        pa.default_memory_pool().release_unused()  # the worker lives on, for other tasks
+        _give_back()  # the worker lives on, for other tasks
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quilter.llm.common import arrow_map, free
 
 DOCS_PER_LANG, SAMPLE_CHARS = 150, 2500
-DIM_BITS, CHAIN, MEMO_WORDS = 15, 128, 300_000
+DIM_BITS, CHAIN, MEMO_WORDS = 15, 128, 120_000
 DIM = 1 << DIM_BITS
 EPOCHS, RATE, L2, SWITCHED = 3, 0.5, 1e-6, 0.3
 UNDETERMINED = "und"
