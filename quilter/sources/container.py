@@ -28,7 +28,7 @@ FORMATS = ("BC1", "BC3", "BC4", "BC5", "BC6", "BC7")
 DIMENSIONS = ("D1", "D2", "D3", "D1Array", "D2Array")
 HEADER = "<IHHBBHIII"
 ROWS = ["t0", "t1", "t2", "t3"]
-SUFFIX = ".jkl"
+SUFFIX = ".blk"
 
 
 class HeaderError(ValueError):

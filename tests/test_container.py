@@ -20,7 +20,7 @@ COLS = ["image_id", "z", "bx", "by", "c0", "c1", "t0", "t1", "t2", "t3"]
 def test_planes_round_trip(spark, tmp_path):
     df = texture(spark, 1, "D2Array", 16, 16, 2).union(texture(spark, 2, "D3", 17, 33, 3)).union(texture(spark, 3, "D1Array", 5, 40, 1)).union(texture(spark, 4, "D2", 3, 2, 1)).union(texture(spark, 5, "D1", 70, 1, 1))
     written = container.write(container.pack(df), f"file://{tmp_path}/out")
-    assert [n for n, _ in written] == [f"{i}.jkl" for i in range(1, 6)]
+    assert [n for n, _ in written] == [f"{i}.blk" for i in range(1, 6)]
     packed = container.read_files(spark, f"{tmp_path}/out")
     assert {r["image_id"]: (r["n"], r["d"]) for r in packed.groupBy("image_id").agg(F.count("*").alias("n"), F.first("dim").alias("d")).collect()} == {1: (2, "D2Array"), 2: (2 * 3 * 3, "D3"), 3: (3, "D1Array"), 4: (1, "D2"), 5: (2, "D1")}
     assert sorted(container.unpack(packed).select(COLS).collect()) == sorted(df.select(COLS).collect())
