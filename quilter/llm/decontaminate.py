@@ -41,7 +41,7 @@ from quilter.llm.bytes_np import mix
 from quilter.llm.common import Staged, arrow_map, free
 
 WINDOW, LITERALS, COVER, RUN = 8, 4, 0.5, 13
-BLOCK_CHARS, MEMO_WORDS = 16 << 20, 150_000
+BLOCK_CHARS, MEMO_WORDS = 16 << 20, 300_000
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]")
 #: Words that are units when they follow a number (fixed values).
