@@ -18,7 +18,7 @@ def both(spark, folder, name, table, rows):
     return sorted(map(tuple, df.collect())), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["X01"])
+@pytest.mark.parametrize("name", ["X01", "X02"])
 def test_keys_of_more_bits_than_their_field(spark, tmp_path, name):
     """60 times the orders of sf0.1 have keys of 24 bits; the field has 21."""
     keys = [0, 1, 2**21 - 1, 2**21, 2**21 + 152, 8_999_999, 2**24 - 1, 2**24, 2**36 + 5, 2**40 - 3, 2**44 + 7, 2**58 + 1, -1, -(2**22) - 9]
