@@ -1,10 +1,14 @@
 """Queries on tables that are larger, or odder, than the given ones."""
 
+from itertools import combinations
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from quilter.operators import search
 from quilter.plans import REGISTRY
 
 
@@ -15,7 +19,7 @@ def both(spark, folder, name, table, rows):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({REGISTRY.oracles[name]})").fetchall()
-    return sorted(map(tuple, df.collect())), sorted(want)
+    return sorted(map(tuple, df.collect()), key=repr), sorted(want, key=repr)
 
 
 @pytest.mark.parametrize("name", ["X01", "X02"])
@@ -24,3 +28,41 @@ def test_keys_of_more_bits_than_their_field(spark, tmp_path, name):
     keys = [0, 1, 2**21 - 1, 2**21, 2**21 + 152, 8_999_999, 2**24 - 1, 2**24, 2**36 + 5, 2**40 - 3, 2**44 + 7, 2**58 + 1, -1, -(2**22) - 9]
     got, want = both(spark, tmp_path, name, "orders", pa.table({"o_orderkey": pa.array(keys, pa.int64())}))
     assert len(got) == len(keys) and got == want
+
+
+def odd_embeddings():
+    """Noise, few values, one value, values on and beyond the edges of the range, null numbers, short and missing rows."""
+    rng = np.random.default_rng(11)
+    rows = [(rng.random(64) - 0.5).tolist() for _ in range(40)]
+    rows += [rng.choice([-0.25, 0.0, 0.25], 64).tolist() for _ in range(20)]
+    rows += [[v] * 64 for v in (-3.0, -0.5, 0.0, 0.5, 0.25, 7.0)]
+    rows += [rng.choice([-0.5, 0.5], 64).tolist(), (rng.random(64) * 4 - 2).tolist(), np.linspace(-0.5, 0.5, 64).tolist(), (np.arange(64) / 255 - 0.5).tolist()]
+    rows += [[None, *rng.random(63).tolist()], rows[0][:41], rows[1][:5], [], None]
+    return pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))})
+
+
+@pytest.mark.parametrize("name", ["K10"])
+def test_search_of_odd_tiles_as_in_sql(spark, tmp_path, name):
+    e = odd_embeddings()
+    got, want = both(spark, tmp_path, name, "embeddings", e)
+    assert len(got) == 4 * len(e) and got == want
+
+
+@pytest.mark.parametrize("name", ["K10"])
+def test_search_makes_no_row_a_cut(spark, data, name):
+    """A tile's cuts stay where the tile is: no shuffle, no row for each of the 560 cuts."""
+    plan = REGISTRY.queries[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_sums_of_all_cuts():
+    s = np.sort(np.random.default_rng(3).random((16, 5)), axis=0)
+    places = sorted(((a, b, c) for a, b, c in combinations(range(16), 3)), key=lambda x: x[::-1])
+    for weights in (search.WEIGHTS, [1 - w for w in search.WEIGHTS]):
+        sums = search.cut_sums(s, weights)
+        for t in range(5):
+            for k, cut in enumerate(places):
+                total = 0.0
+                for i in range(16):
+                    total += s[i, t] * weights[sum(i > p for p in cut)]
+                assert sums[k, t] == total
