@@ -41,14 +41,14 @@ def odd_embeddings():
     return pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))})
 
 
-@pytest.mark.parametrize("name", ["K10"])
+@pytest.mark.parametrize("name", ["K08", "K10"])
 def test_search_of_odd_tiles_as_in_sql(spark, tmp_path, name):
     e = odd_embeddings()
     got, want = both(spark, tmp_path, name, "embeddings", e)
     assert len(got) == 4 * len(e) and got == want
 
 
-@pytest.mark.parametrize("name", ["K10"])
+@pytest.mark.parametrize("name", ["K08", "K10"])
 def test_search_makes_no_row_a_cut(spark, data, name):
     """A tile's cuts stay where the tile is: no shuffle, no row for each of the 560 cuts."""
     plan = REGISTRY.queries[name](spark, data)._jdf.queryExecution().executedPlan().toString()
